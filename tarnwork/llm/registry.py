@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import exact_dedup, mixing, simhash
+from tarnwork.llm import exact_dedup, mixing, simhash, toxicity
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
