@@ -30,7 +30,7 @@ UNLABELLED = 16_000
 VOCABULARY = 2_000
 LEAST_DOCUMENTS = 3
 #: Standard deviations by which a word's share of toxic documents must exceed its share of unlabelled ones.
-LEAST_Z = 5.0
+LEAST_Z = 6.0
 #: Times by which the toxic share must exceed the other: common words that only tell languages or lengths apart stay out.
 LEAST_RATIO = 3.0
 FOLDS = 5
