@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import exact_dedup, licences, mixing, packing, simhash, toxicity
+from tarnwork.llm import exact_dedup, licences, mixing, neighbours, packing, simhash, toxicity
 
 QUERIES = {
     "op2_licences": licences.op2_licences,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_neighbours": neighbours.op7_neighbours,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }
