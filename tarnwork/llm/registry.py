@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import exact_dedup, licences, mixing, neighbours, packing, simhash, toxicity
+from tarnwork.llm import exact_dedup, html_text, licences, mixing, neighbours, packing, simhash, toxicity
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
     "op2_licences": licences.op2_licences,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
