@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import exact_dedup, html_text, licences, mixing, neighbours, packing, simhash, toxicity
+from tarnwork.llm import exact_dedup, html_text, katz, licences, mixing, neighbours, packing, simhash, toxicity
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_neighbours": neighbours.op7_neighbours,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_katz": katz.op9_katz,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
