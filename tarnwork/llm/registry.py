@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import exact_dedup, html_text, katz, licences, mixing, neighbours, packing, simhash, toxicity
+from tarnwork.llm import chat, exact_dedup, html_text, katz, licences, mixing, neighbours, packing, simhash, toxicity
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
     "op2_licences": licences.op2_licences,
+    "op3_chat": chat.op3_chat,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
