@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tarnwork.llm import chat, exact_dedup, html_text, katz, licences, mixing, neighbours, packing, simhash, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_html_text": html_text.op1_html_text,
     "op2_licences": licences.op2_licences,
     "op3_chat": chat.op3_chat,
@@ -17,3 +19,5 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

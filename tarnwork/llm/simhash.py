@@ -91,6 +91,17 @@ def grouped(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFram
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, that of the least doc_id; every column stays.
+
+    Null doc_ids order last, and rows with one doc_id by their place in the input.
+    """
+    numbered = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    ids = numbered.select(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "_row").alias("doc_id"), "text")
+    keep = grouped(ids).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id._row").alias("_row"))
+    return numbered.join(keep, "_row", "left_semi").drop("_row")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = grouped(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -197,6 +197,17 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, score double")
 
 
+def without_toxic(docs: DataFrame, model: Classifier) -> DataFrame:
+    """The rows whose text scores below 0.5, with every column as it was."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            yield batch.filter(pa.array([model.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     out = scored(docs, fit(docs, common.table(spark, sf_dir, "labels")))
