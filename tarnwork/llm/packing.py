@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import unicodedata
 import zlib
 from array import array
@@ -32,10 +31,10 @@ PIECE = 512
 BLOCK_WINDOWS = 256
 END = 1
 #: Most words whose ids a worker remembers, twice: of the current generation and the one before.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 #: White space to Python but not to the tokenizer's patterns; and starts of special tokens. Such texts are encoded whole.
-_whole = re.compile(r"[\x1c-\x1f]|<\|")
+_WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class WordIds(dict):
@@ -58,6 +57,7 @@ class WordIds(dict):
         import regex
 
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.stops = {x: self.of_part(x) for x in ".,"}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -70,19 +70,26 @@ class WordIds(dict):
         return ids
 
     def encoded(self, word: str) -> bytes:
-        if max(word) >= "ɐ":  # beyond Latin, all is left to the library
+        if word.isascii():
+            low = word.lower()
+        elif max(word) >= "ɐ":  # beyond Latin, all is left to the library
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        low = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
-        ids = array("I")
-        for part in self.parts.findall(low):
-            if not part.isascii():
-                part = "".join(map(self.of_byte.__getitem__, part.encode()))
-            ids.extend(t.id for t in self.model.tokenize(part))
-        return ids.tobytes()
+        else:
+            low = unicodedata.normalize("NFC", word).lower()
+        if low.isalpha():
+            return self.of_part(low)
+        if low[-1] in ".," and low[:-1].isalpha():
+            return self.of_part(low[:-1]) + self.stops[low[-1]]
+        return b"".join(map(self.of_part, self.parts.findall(low)))
+
+    def of_part(self, part: str) -> bytes:
+        if not (part.isascii() and part.isprintable()):
+            part = "".join(map(self.of_byte.__getitem__, part.encode()))
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
     def of_text(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
-        if _whole.search(text):
+        if any(x in text for x in _WHOLE):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, text.split()))
 
