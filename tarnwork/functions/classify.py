@@ -54,8 +54,11 @@ def payload_kind(text: Column) -> Column:
 def language(path: Column, source: Column) -> Column:
     """rust, python, javascript or unknown: by the path's ending, else by the first lines; ties go in that order."""
     low, head = tx.ascii_lower(path), _head(source)
-    votes = {k: F.size(F.filter(head, lambda line, v=v: _any(line.startswith(x) for x in v))) for k, v in STARTS.items()}
-    r, p, j = (votes[k] for k in STARTS)
+
+    def votes(starts: tuple[str, ...]) -> Column:
+        return F.size(F.filter(head, lambda line: _any(line.startswith(x) for x in starts)))
+
+    r, p, j = (votes(STARTS[k]) for k in ("rust", "python", "javascript"))
     out = F.when(F.lit(False), "")
     for name, ends in ENDINGS.items():
         out = out.when(_any(low.endswith(x) for x in ends), name)

@@ -43,3 +43,11 @@ def tokens(text: Column) -> Column:
 
 def byte_length(text: Column) -> Column:
     return F.octet_length(text).cast("long")
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once for a row.
+
+    Inside a lambda an outer expression would be computed again for every element.
+    """
+    return F.transform(F.array(value), lambda x: use(x))[0]

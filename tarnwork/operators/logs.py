@@ -93,7 +93,9 @@ def compress_lines(lines: Column) -> Column:
     entries = F.flatten(F.transform(parts, lambda p: F.when(p.startswith(_MARK), compress_run(run(p))).otherwise(single(p))))
     entries = F.filter(entries, lambda e: e["line"] != "")
     # A skipped line equals the one before it, so comparing with the entry before is comparing with the line last kept.
-    return F.transform(F.filter(F.transform(entries, lambda e, i: F.struct(e["line"].alias("line"), (e["always"] | (i == 0) | (e["line"] != F.get(entries, i - 1)["line"])).alias("kept"))), lambda e: e["kept"]), lambda e: e["line"])
+    fresh = lambda all_of, e, i: e["always"] | (i == 0) | (e["line"] != F.get(all_of, i - 1)["line"])
+    marks = tx.bound(entries, lambda all_of: F.transform(all_of, lambda e, i: F.when(fresh(all_of, e, i), e["line"])))
+    return F.filter(marks, lambda x: x.isNotNull())
 
 
 def clean_log(text: Column) -> Column:

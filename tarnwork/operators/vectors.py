@@ -13,8 +13,8 @@ def features(text: Column) -> Column:
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     # An array of characters: positions in a string would be counted from its start each time.
     chars = F.filter(F.split(F.regexp_replace(tx.ascii_lower(text), r"\p{Cc}", ""), ""), lambda c: c != "")
-    several = F.transform(F.sequence(F.lit(0), F.size(chars) - 3), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
-    triples = F.when(F.size(chars) >= 3, several).otherwise(F.array().cast("array<string>"))
+    triple = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
+    triples = tx.bound(chars, lambda c: F.when(F.size(c) >= 3, triple(c)).otherwise(F.array().cast("array<string>")))
     return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()), triples)
 
 

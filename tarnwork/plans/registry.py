@@ -177,7 +177,7 @@ def _nested_json():
     return F.concat(F.lit('{"name": "'), "p_name", F.lit('", "sizes": ['), F.col("p_size").cast("string"), F.lit(', 1.50], "made": {"by": "'), "p_brand", F.lit('", "in": [], "ok": true}}'))
 
 
-_QUOTED = r"CASE WHEN regexp_matches({0}, '[\s:#&,]') OR {0} = '' OR lower({0}) IN ('true','false','null','yes','no','on','off','y','n','~') OR regexp_full_match({0}, '-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?') OR contains('-?:{{}}[],&*!|>''\"%@`#', substr({0}, 1, 1)) THEN '\"' || {0} || '\"' ELSE {0} END"
+_QUOTED = r"""CASE WHEN regexp_matches({0}, '[\s:#&,]') OR {0} = '' OR lower({0}) IN ('true','false','null','yes','no','on','off','y','n','~') OR regexp_full_match({0}, '-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?') OR contains('-?:{{}}[],&*!|>''"%@`#', substr({0}, 1, 1)) THEN '"' || {0} || '"' ELSE {0} END"""
 
 
 @query(
@@ -310,7 +310,7 @@ def _features_sql(source: str) -> str:
 w AS (SELECT id, t, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^A-Za-z0-9_]'), lambda x: length(x) >= 2) AS ws,
       regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x1f\\x7f-\\x{{9f}}]', '', 'g') AS c FROM {source}),
 x AS (SELECT id, unnest(ws) AS feature FROM w UNION ALL SELECT id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
-      UNION ALL SELECT id, unnest(list_transform(range(1, length(c) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])) FROM (SELECT id, c, string_split(c, '') AS l FROM w) WHERE length(c) >= 3),
+      UNION ALL SELECT id, unnest(list_transform(range(1, length(c) - 1), lambda i: substr(c, i, 3))) FROM w WHERE length(c) >= 3),
 tf AS (SELECT id, feature, count(*) AS tf FROM x GROUP BY ALL)"""
 
 
