@@ -48,11 +48,15 @@ _word = re.compile(common.WORD)
 
 
 def pack(a: np.ndarray) -> bytes:
-    return a.dtype.str[-2:].encode() + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    """An array as bytes: first bytes of all items, then second bytes and so on, compressed; high bytes are mostly alike."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T
+    return a.dtype.str[-2:].encode() + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[2:]), "<" + bytes(blob[:2]).decode())
+    kind = np.dtype("<" + bytes(blob[:2]).decode())
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[2:]), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
 class _Numbers(dict):
@@ -220,8 +224,11 @@ def word_counts(own: Chunk, answers: pd.DataFrame, buckets: int) -> np.ndarray:
 
 def merge_pairs(words: Words, n: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # For each row: contexts' hashes, whether hot, numbers of pairs; pairs' word hashes, training counts, and counts of the word.
+        # For each row: contexts' hashes, whether hot, numbers of pairs; hashes and counts of the words; pairs' words and training counts.
         sent = [[unpack(x) for x in pdf[c]] for c in ("contexts", "hot", "sizes", "keys", "counts", "seen")]
+        for i, number in enumerate(pdf["numbers"]):
+            number = unpack(number)
+            sent[3][i], sent[5][i] = sent[3][i][number], sent[5][i][number]
         hash_c, hot, sizes, hash_w, counts, seen = (np.concatenate(x) for x in sent)
         n_contexts, n_pairs = [len(x) for x in sent[0]], [len(x) for x in sent[3]]
         # Contexts get numbers, so that pairs are sorted by one key and the word.
@@ -244,7 +251,7 @@ def merge_pairs(words: Words, n: int):
         for chunk, m, q in zip(pdf["chunk"], n_contexts, n_pairs):
             own = number[i : i + m]
             table = np.column_stack([by_count[own], total[own], held[own].view(np.int64)])
-            out.append(_answer(2, chunk, bucket, pack(r[of[j : j + q]].astype(np.uint64)), pack(table)))
+            out.append(_answer(2, chunk, bucket, pack(r[of[j : j + q]].astype(np.uint64)), pack(table.ravel())))
             i, j = i + m, j + q
         shared = [{"hash": int(contexts[x].view(np.int64)), "of_counts": by_count[x].tolist(), "total": int(total[x]), "held": float(held[x])} for x in np.flatnonzero(hot_context)]
         out.append(_answer(2, None, bucket, stats=_of_counts(r), hot=shared))
@@ -281,12 +288,14 @@ def scores(docs: DataFrame) -> DataFrame:
                     continue
                 first = np.flatnonzero(np.append(True, c[part][1:] != c[part][:-1]))
                 sizes = np.diff(np.append(first, at[b + 1] - at[b])).astype(np.uint32)
-                blobs = own.words[c[part][first]], hot[c[part][first]].astype("<u1"), sizes, own.words[w[part]], counts[part], np.where(w[part] == 0, 0, seen[w[part]])
+                # Words once each, with their counts; pairs refer to them by number.
+                used, number = np.unique(w[part], return_inverse=True)
+                blobs = own.words[c[part][first]], hot[c[part][first]].astype("<u1"), sizes, own.words[used], number.astype(np.uint32), counts[part], seen[used]
                 out.append([b, own.id, *map(pack, blobs)])
-        return pd.DataFrame(out, columns=["bucket", "chunk", "contexts", "hot", "sizes", "keys", "counts", "seen"])
+        return pd.DataFrame(out, columns=["bucket", "chunk", "contexts", "hot", "sizes", "keys", "numbers", "counts", "seen"])
 
     by_chunk = rows.groupBy("chunk").cogroup(answers.where("chunk IS NOT NULL").groupBy("chunk"))
-    asked = by_chunk.applyInPandas(ask_pairs, "bucket int, chunk long, contexts binary, hot binary, sizes binary, keys binary, counts binary, seen binary")
+    asked = by_chunk.applyInPandas(ask_pairs, "bucket int, chunk long, contexts binary, hot binary, sizes binary, keys binary, numbers binary, counts binary, seen binary")
     pair_answers = common.written(asked.groupBy("bucket").applyInPandas(merge_pairs(words, n), _ANSWER), "pair-counts")
     own_stats = pair_answers.where("chunk IS NULL")
     sums = own_stats.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
