@@ -6,7 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from tarnwork.functions import classify, jsonyaml, text as tx
 from tarnwork.operators import code, logs
@@ -108,9 +111,6 @@ def savings(df: DataFrame, before: Column, after: Column, *keys: str) -> DataFra
 
 def token_counter(ranks_path: str):
     """A counter of byte-pair tokens by a file of ranks (base64 token and rank a line), special tokens as plain text."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-    from pyspark.sql.types import LongType
 
     @pandas_udf(LongType())
     def count_tokens(texts: pd.Series) -> pd.Series:
