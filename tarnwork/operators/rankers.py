@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tarnwork.functions import text as tx
 from tarnwork.operators import vectors
+from tarnwork.operators.ranking import ranked
 
 # Weights of the rankers; confidences of name matches; hits that count as certain.
 VECTOR, SYMBOL, KEYWORD = ("vector", 1.15), ("ast", 1.00), ("regex", 0.85)
@@ -31,10 +32,7 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 
 def _hits(scored: DataFrame, ranker: tuple[str, float], *order: Column, limit: int | None = None) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order, "seq"))
-    out = scored.withColumn("rank", rank)
-    if limit is not None:
-        out = out.where(F.col("rank") <= limit)
+    out = ranked(scored, *order, "seq", limit=limit)
     return out.withColumn("ranker", F.lit(ranker[0])).withColumn("weight", F.lit(ranker[1])).withColumnRenamed("source", "content").select(*HIT)
 
 

@@ -437,7 +437,7 @@ SELECT id::VARCHAR AS id, round(score, 9)::DOUBLE AS score, round(c, 9)::DOUBLE
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     at = (F.col("p_partkey") * 100).cast("int")
-    rest = (F.col("p_partkey").cast("string").alias("id"), F.lit("f").alias("file_path"), at.alias("line_start"), at.alias("line_end"), F.lit("").alias("content"))
+    rest = (F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("f"), (F.col("p_partkey") % 50).cast("string")).alias("file_path"), at.alias("line_start"), at.alias("line_end"), F.lit("").alias("content"))
     hit = lambda df, ranker, weight, rank, c: df.select(F.lit(ranker).alias("ranker"), F.lit(weight).alias("weight"), rank.cast("int").alias("rank"), c.cast("double").alias("confidence"), *rest)
     key = F.col("p_partkey")
     hits = hit(part, "vector", 1.15, F.col("p_size"), F.col("p_size") / 60).union(hit(part, "ast", 1.0, key % 97 + 1, key % 97 / 100)).union(hit(part.where(key % 2 == 0), "regex", 0.85, key % 31 + 1, F.lit(0.5)))

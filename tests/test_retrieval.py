@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.operators import fusion, graph, rankers, scopes, vectors
+from tarnwork.operators.ranking import ranked
 from tarnwork.plans.retrieval import RetrievalEngine
 from tarnwork.sources import readers
 
@@ -69,6 +70,15 @@ def test_cosine_prefers_paraphrase(spark):
     assert found[1] > found.get(2, 0) and 3 not in found
 
 
+def test_ranks_of_many_partitions(spark):
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 100).alias("v")).repartition(7)
+    got = {r.id: r.rank for r in ranked(rows, F.desc("v"), "id").collect()}
+    order = sorted(range(1000), key=lambda i: (-(i * 7919 % 100), i))
+    assert got == {i: k + 1 for k, i in enumerate(order)}
+    assert [(r.id, r.rank) for r in ranked(rows, F.desc("v"), "id", limit=3).orderBy("rank").collect()] == [(i, k + 1) for k, i in enumerate(order[:3])]
+    assert ranked(rows.limit(0), "v").count() == 0
+
+
 def test_query_tokens():
     assert rankers.query_tokens("Get the a_b x, É get!") == ["get", "the", "a_b", "get"]
 
