@@ -44,11 +44,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return kept(df, new_path(df.sparkSession, name))
 
 
-def kept(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
+def kept(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column _row that tells its rows apart, the same whenever it is read.
+
+    That is doc_id where it is unique, which only reads the ids; else the rows are numbered and written.
+    """
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if again.limit(1).count() == 0:
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder made by ``new_path`` from whatever file system it is on."""
     jvm = spark.sparkContext._jvm

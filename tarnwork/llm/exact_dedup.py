@@ -105,7 +105,7 @@ def exact_groups(docs: DataFrame, digest=sha256) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text an earlier-ranked row has; every column stays."""
-    numbered = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    numbered = common.with_row(docs)
     order = numbered.select(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "_row").alias("doc_id"), "text")
     groups = exact_groups(order)
     wins = groups.where("kept").select(F.col("doc_id._row").alias("_row"))

@@ -95,7 +95,7 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed rows in service order, a document once for each copy taken, whole; the columns of ``docs``."""
-    numbered = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "to-mix")
+    numbered = common.with_row(docs)
     rows, _ = served(numbered.select(F.col("_row").alias("doc_id"), "text", "source"), whole=True)
     plan = rows.where("copies > 0").select(
         F.col("doc_id").alias("_row"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("_copy"), "start", "size", "source_size", "target"

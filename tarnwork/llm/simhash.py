@@ -96,7 +96,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Null doc_ids order last, and rows with one doc_id by their place in the input.
     """
-    numbered = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    numbered = common.with_row(docs)
     ids = numbered.select(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "_row").alias("doc_id"), "text")
     keep = grouped(ids).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id._row").alias("_row"))
     return numbered.join(keep, "_row", "left_semi").drop("_row")
