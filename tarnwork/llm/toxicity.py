@@ -171,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     vocabulary = counted.orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()
     number = {r.word: i for i, r in enumerate(vocabulary)}
     toxic, rest = [], []
-    for row in sample.toLocalIterator():
+    known_words = F.array_intersect("words", F.array(*map(F.lit, number))) if number else F.array().cast("array<string>")
+    for row in sample.select("kinds", known_words.alias("words")).toLocalIterator():
         own = np.array([i for w in row.words if (i := number.get(w)) is not None], np.int64)
         for kind, into in ((1, toxic), (0, rest)):
             if kind in row.kinds:
