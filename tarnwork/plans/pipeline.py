@@ -13,6 +13,7 @@ from pyspark.sql.types import LongType
 
 from tarnwork.functions import classify, jsonyaml, text as tx
 from tarnwork.operators import code, logs
+from tarnwork.sources.readers import written
 
 
 class TokenFilter(Protocol):
@@ -103,35 +104,55 @@ def routed(payloads: DataFrame, column: str = "body", kind: str | None = None) -
 
 def savings(df: DataFrame, before: Column, after: Column, *keys: str) -> DataFrame:
     """Sums before, after and saved, and the saving in percent (0 of nothing), by the keys and in total."""
-    out = df.select(*keys, before.cast("long").alias("_b"), after.cast("long").alias("_a")).rollup(*keys)
-    out = out.agg(F.count("*").alias("n"), F.coalesce(F.sum("_b"), F.lit(0)).alias("before"), F.coalesce(F.sum("_a"), F.lit(0)).alias("after"))
+    out = df.select(*keys, before.cast("long").alias("_b"), after.cast("long").alias("_a"))
+    out = (out.rollup(*keys) if keys else out.groupBy()).agg(F.count("*").alias("n"), F.coalesce(F.sum("_b"), F.lit(0)).alias("before"), F.coalesce(F.sum("_a"), F.lit(0)).alias("after"))
     saved = F.greatest(F.col("before") - F.col("after"), F.lit(0))
     return out.withColumn("saved", saved).withColumn("saved_pct", F.when(F.col("before") == 0, 0.0).otherwise(100.0 * saved / F.col("before")))
 
 
-def token_counter(ranks_path: str):
-    """A counter of byte-pair tokens by a file of ranks (base64 token and rank a line), special tokens as plain text."""
+#: Fixed value: the split pattern of the cl100k vocabulary.
+CL100K = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s"""
+
+
+def token_counter(ranks_path: str, pattern: str = CL100K):
+    """A counter of byte-pair tokens by a file of ranks (base64 token and rank a line) and its split pattern.
+
+    Names of special tokens count as ordinary text. The file has to be readable on every executor.
+    """
 
     @pandas_udf(LongType())
     def count_tokens(texts: pd.Series) -> pd.Series:
-        encoding = _encoding(ranks_path)
+        encoding = _encoding(ranks_path, pattern)
         return texts.map(lambda t: len(encoding.encode_ordinary(t)) if t is not None else None)
 
     return count_tokens
 
 
-#: Fixed value: the split pattern of the cl100k vocabulary.
-CL100K = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s"""
 _encodings: dict = {}
 
 
-def _encoding(path: str):
-    if path not in _encodings:
+def _encoding(path: str, pattern: str):
+    if (path, pattern) not in _encodings:
         import base64
 
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _encodings[path] = tiktoken.Encoding("ranks", pat_str=CL100K, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        _encodings[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path, pattern]
+
+
+def telemetry(cleaned: DataFrame, counter, column: str = "body", output: str = "output", context: DataFrame | None = None, elapsed_ms: float | None = None) -> DataFrame:
+    """metric and value: tokens before and after, saved, percent saved, and if given the context's tokens and the time."""
+    # Written first: Spark can't plan a Python function of the output of another one below a union.
+    cleaned = written(cleaned.select(column, output), "cleaned")
+    tokens = savings(cleaned, counter(F.col(column)), counter(F.col(output)))
+    parts = [("initial_tokens", F.col("before")), ("final_tokens", F.col("after")), ("tokens_saved", F.col("saved")), ("saved_pct", F.col("saved_pct"))]
+    rows = F.array(*(F.struct(F.lit(n).alias("metric"), c.cast("double").alias("value")) for n, c in parts))
+    out = tokens.select(F.inline(rows))
+    if context is not None:
+        out = out.union(context.agg(F.sum(counter(F.col("context"))).cast("double").alias("value")).select(F.lit("context_tokens"), "value"))
+    if elapsed_ms is not None:
+        out = out.union(out.sparkSession.createDataFrame([("elapsed_ms", float(elapsed_ms))], "metric string, value double"))
+    return out

@@ -522,3 +522,13 @@ def routed_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = table(spark, sf_dir, "events").select(F.col("props").alias("body")).union(table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" = 1 // "), "p_type")))
     out = pipeline.savings(pipeline.routed(bodies), tx.byte_length(F.col("body")), tx.byte_length(F.col("output")), "kind")
     return out.withColumn("saved_pct", F.round("saved_pct", 6))
+
+
+@query("token_telemetry")
+def token_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens saved on composed payloads, counted with a public byte-pair vocabulary."""
+    import public_tokenizers
+
+    counter = pipeline.token_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    bodies = table(spark, sf_dir, "events").select(F.col("props").alias("body")).union(table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" = 1 // "), "p_type")))
+    return pipeline.telemetry(pipeline.routed(bodies), counter)

@@ -128,6 +128,18 @@ def test_token_counter(spark, tmp_path):
     assert apply(spark, pipeline.token_counter(str(path)), ["abc", "", None]) == [2, 0, None]
 
 
+def test_telemetry(spark, tmp_path):
+    import base64
+
+    pytest.importorskip("tiktoken")
+    path = tmp_path / "ranks"
+    path.write_text("".join(f"{base64.b64encode(bytes([i])).decode()} {i}\n" for i in range(256)))
+    rows = spark.createDataFrame([("abcd", "ab"), ("", "")], "body string, output string")
+    context = spark.createDataFrame([("xyz",)], "context string")
+    got = {r.metric: r.value for r in pipeline.telemetry(rows, pipeline.token_counter(str(path)), context=context, elapsed_ms=5).collect()}
+    assert got == {"initial_tokens": 4, "final_tokens": 2, "tokens_saved": 2, "saved_pct": 50, "context_tokens": 3, "elapsed_ms": 5}
+
+
 def test_stream(spark, tmp_path):
     rows = [("a", "x = 1  # c\n"), ("b", '{"k": "v"}')]
     spark.createDataFrame(rows, filters.PAYLOAD).write.parquet(str(tmp_path / "in"))
