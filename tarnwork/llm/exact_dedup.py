@@ -38,6 +38,7 @@ class MergeIndex:
         self.spark, self.digest = spark, digest
         self.path = path or common.new_path(spark, "merge-index")
         self.runs: list[str] = []
+        self.compacted: str | None = None
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Flushes one sorted run for each input task (the memtables) and returns the run."""
@@ -59,13 +60,27 @@ class MergeIndex:
     def level0(self) -> DataFrame:
         return self.spark.read.parquet(*self.runs)
 
+    def find(self, text: str) -> DataFrame:
+        """Entries of one text's digest; the runs' Bloom filters skip row groups that can't hold it."""
+        (key,) = self.spark.createDataFrame([(text,)], "text string").select(self.digest(normalised(F.col("text")))).first()
+        return self.level0().where(F.col("digest") == F.lit(bytes(key)))
+
+    def hits(self, docs: DataFrame) -> DataFrame:
+        """Rows of a batch whose digest is in the index already, with the identifier that stays there; bytes aren't compared yet."""
+        batch = docs.select("doc_id", self.digest(normalised(F.col("text"))).alias("digest"))
+        known = self.compact().select("digest", F.col("doc_id").alias("keep_id"))
+        return batch.join(known, "digest").select("doc_id", "keep_id", "digest")
+
     def compact(self) -> DataFrame:
         """One entry for each digest: the identifier that stays and the number of rows, sorted by digest."""
         path = f"{self.path}/level1-{len(self.runs)}"
+        if self.compacted == path:
+            return self.spark.read.parquet(path)
         best = F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("nil"), "doc_id", "run", "uid")
         merged = self.level0().groupBy("digest").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
         merged = merged.select("digest", "best.doc_id", "best.run", "best.uid", "group_size").sortWithinPartitions("digest")
         merged.write.option("compression", "zstd").parquet(path)
+        self.compacted = path
         return self.spark.read.schema(merged.schema).parquet(path)
 
 

@@ -56,6 +56,17 @@ def test_weak_digest_is_verified(spark):
     assert exact_dedup.differing(docs, top, index.digest).count() == 1
 
 
+def test_index_of_batches(spark):
+    index = exact_dedup.MergeIndex(spark)
+    index.add(frame(spark, [(1, "a b"), (2, "c"), (3, None)]))
+    index.add(frame(spark, [(4, "a  b c")]))
+    assert {r.doc_id for r in index.find(" ab").collect()} == {1} and index.find("zz").count() == 0
+    batch = frame(spark, [(10, "ab"), (11, "new"), (12, " "), (13, "abc")])
+    assert {(r.doc_id, r.keep_id) for r in index.hits(batch).collect()} == {(10, 1), (12, 3), (13, 4)}
+    index.add(frame(spark, [(0, "c")]))
+    assert {r.doc_id: r.group_size for r in index.compact().collect()} == {1: 1, 0: 2, 3: 1, 4: 1}
+
+
 def test_drop_copies(spark):
     got = exact_dedup.drop_copies(frame(spark, ROWS))
     assert got.columns == ["doc_id", "text", "kept", "digest", "fp"]
