@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from tarnwork.llm import common
 
 
+#: Links in one file of a round's table.
+PER_FILE = 1_000_000
+
+
 def _digest(edges: DataFrame):
     total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     return tuple(edges.agg(F.count("*"), total).first())
@@ -25,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
     big, small = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     edges = links.where("u <> v").select(big, small).distinct()
     path = common.new_path(spark, "stars")
-    edges, before = common.kept(edges, path), None
+    edges, before = common.kept(edges, path, "snappy"), None
     while (state := _digest(edges)) != before:
         before = state
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,7 +38,9 @@ def components(links: DataFrame) -> DataFrame:
         least = stars.groupBy("u").agg(F.min("v").alias("m"))
         moved = stars.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, path = path, common.new_path(spark, "stars")
-        edges = common.kept(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), path)
+        # A round never has more links than the one before, so few links don't become many small files.
+        edges = moved.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(before[0] // PER_FILE + 1)
+        edges = common.kept(edges, path, "snappy")
         common.delete(spark, old)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

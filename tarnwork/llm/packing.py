@@ -18,6 +18,7 @@ import os
 import unicodedata
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,9 @@ WINDOW = 2048
 PIECE = 512
 BLOCK_WINDOWS = 256
 END = 1
-#: Most words whose ids a worker remembers, twice: of the current generation and the one before.
-REMEMBERED = 500_000
+#: Most words whose ids a worker remembers, twice: of the current generation and the one before. Between tasks it keeps the words met first, mostly frequent ones.
+REMEMBERED = 300_000
+KEPT = 50_000
 
 #: White space to Python but not to the tokenizer's patterns; and starts of special tokens. Such texts are encoded whole.
 _WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
@@ -69,6 +71,13 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
+    def rest(self) -> None:
+        """Lets go of most words at the end of a task; workers live on and hold their memory through other stages."""
+        first = dict(islice((self.before or self).items(), KEPT))
+        self.before = {}
+        self.clear()
+        self.update(first)
+
     def encoded(self, word: str) -> bytes:
         if word.isascii():
             low = word.lower()
@@ -136,6 +145,7 @@ def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
                     totals.append(n)
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        ids.rest()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
