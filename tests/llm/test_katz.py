@@ -1,6 +1,8 @@
 """Katz scores against a plain dictionary model, and normalised distributions."""
 
+import functools
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -34,17 +36,19 @@ def plain(rows):
     for (c, w), r in bi.items():
         after[c][w] = r
 
-    def p2(w, c):
-        own = after.get(c)
-        if not own:
-            return p1(w)
+    @functools.cache
+    def of_context(c):
+        own = after[c]
         total = sum(own.values())
-        whole = all(r > katz.CUTOFF for r in own.values())
-        scale = total / (total + 1) if whole else 1.0
-        if w in own:
-            return scale * disc(own[w], db) / total
+        scale = total / (total + 1) if all(r > katz.CUTOFF for r in own.values()) else 1.0
         seen = sum(scale * disc(r, db) / total for r in own.values())
-        return (1 - seen) / (1 - sum(p1(x) for x in own)) * p1(w)
+        return total, scale, (1 - seen) / (1 - sum(p1(x) for x in own))
+
+    def p2(w, c):
+        if c not in after:
+            return p1(w)
+        total, scale, weight = of_context(c)
+        return scale * disc(after[c][w], db) / total if w in after[c] else weight * p1(w)
 
     out = [(h, len(t), sum(x in uni for x in t), n, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in t), sum(math.log10(p2(w, c)) for c, w in zip(["\t", *t], t))) for t, h in zip(tokens, held)]
     return out, p2, uni, after
@@ -81,3 +85,18 @@ def test_empty_and_untrained(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = katz.scores(spark.createDataFrame([(held, "a b")], schema)).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (True, 3, 0, 0, 0.0, 0.0)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_matches_plain_model_on_documents(spark):
+    """Some contexts are spread over the buckets here, most aren't."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    expected, _, uni, _ = plain(rows)
+    hot = [w for w, c in uni.items() if c * katz.HOT > sum(uni.values())]
+    assert 0 < len(hot) < len(uni) / 10
+    got = {r.doc_id: r for r in katz.scores(docs.repartition(4)).collect()}
+    for (i, _), (held, n, known, total, base, score) in zip(rows, expected):
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
