@@ -28,6 +28,8 @@ from tarnwork.llm import common
 
 RELABEL, MERGE, INSERT = 2, 1, 3
 SEGMENT = 4096
+#: Turns that a call works on, about.
+LOT = 5000
 ROLES = ("system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -136,44 +138,66 @@ def _ordered(pdf: pd.DataFrame) -> tuple[list[int], list[str]]:
     return [role_number(r) for r in pdf["role"]], [t if isinstance(t, str) else "" for t in pdf["text"]]
 
 
+def _apart(pdf: pd.DataFrame, *keys: str):
+    """The rows of each key (nulls are a key), as frames."""
+    for _, own in pdf.groupby(list(keys), dropna=False, sort=False):
+        yield own
+
+
 def formatted(turns: DataFrame) -> DataFrame:
     """conv_id, segment, n_turns, n_out, cost, actions and rendered."""
     id_type = turns.schema["conv_id"].dataType.simpleString()
-    rows = turns.select("conv_id", "turn", "role", "text")
     segment = F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit((1 << 62) // SEGMENT)).cast("long")
-    rows = rows.withColumn("segment", segment)
+    # As text: pandas would turn numbers beside nulls into floats.
+    rows = turns.select(F.col("conv_id").cast("string").alias("conv_id"), "turn", "role", "text").withColumn("segment", segment)
+    # Many segments share a task's call: a call for each costs more than the work in it.
+    lots = max(1, rows.count() // LOT)
+    rows = rows.withColumn("lot", F.pmod(F.xxhash64("conv_id", "segment"), F.lit(lots)))
 
     def costs(pdf: pd.DataFrame) -> pd.DataFrame:
-        roles, _ = _ordered(pdf)
-        flat = np.concatenate([forward(roles, s)[0] for s in range(4)])
-        return pd.DataFrame({"conv_id": pdf["conv_id"][:1], "segment": pdf["segment"][:1], "costs": [flat.tolist()]})
+        out = []
+        for own in _apart(pdf, "conv_id", "segment"):
+            roles, _ = _ordered(own)
+            out.append((own["conv_id"].iloc[0], own["segment"].iloc[0], own["lot"].iloc[0], np.concatenate([forward(roles, s)[0] for s in range(4)]).tolist()))
+        return pd.DataFrame(out, columns=["conv_id", "segment", "lot", "costs"])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("segment", ignore_index=True)
-        cost, back = np.array([0, np.inf, np.inf, np.inf]), []
-        for flat in pdf["costs"]:
-            through = cost[:, None] + np.array(flat).reshape(4, 4)
-            back.append(through.argmin(0))
-            cost = through.min(0)
-        state = int(np.argmin([c + closing(s) if s or not len(pdf) else np.inf for s, c in enumerate(cost)]))
-        begin, end = [], []
-        for before in reversed(back):
-            end.append(state)
-            state = int(before[state])
-            begin.append(state)
-        last = [i == len(pdf) - 1 for i in range(len(pdf))]
-        return pdf.assign(begin=begin[::-1], end=end[::-1], last=last)[["conv_id", "segment", "begin", "end", "last"]]
+        out = []
+        for own in _apart(pdf, "conv_id"):
+            own = own.sort_values("segment", ignore_index=True)
+            cost, back = np.array([0, np.inf, np.inf, np.inf]), []
+            for flat in own["costs"]:
+                through = cost[:, None] + np.array(flat).reshape(4, 4)
+                back.append(through.argmin(0))
+                cost = through.min(0)
+            state = int(np.argmin([c + closing(s) if s else np.inf for s, c in enumerate(cost)]))
+            begin, end = [], []
+            for before in reversed(back):
+                end.append(state)
+                state = int(before[state])
+                begin.append(state)
+            last = [i == len(own) - 1 for i in range(len(own))]
+            out.append(own.assign(begin=begin[::-1], end=end[::-1], last=last))
+        return pd.concat(out)[["conv_id", "segment", "lot", "begin", "end", "last"]]
 
     def write(pdf: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
-        roles, texts = _ordered(pdf)
-        own = plan.iloc[0]
-        text, actions, opened, cost = render(roles, texts, int(own["begin"]), int(own["end"]), bool(own["last"]))
-        return pd.DataFrame({"conv_id": pdf["conv_id"][:1], "segment": pdf["segment"][:1], "n_turns": len(roles), "n_out": opened, "cost": cost, "actions": actions, "rendered": text})
-
-    found = rows.groupBy("conv_id", "segment").applyInPandas(costs, f"conv_id {id_type}, segment long, costs array<double>")
-    plans = common.written(found.groupBy("conv_id").applyInPandas(chain, f"conv_id {id_type}, segment long, begin int, end int, last boolean"), "chat-plans")
-    schema = f"conv_id {id_type}, segment long, n_turns long, n_out long, cost long, actions string, rendered string"
-    return rows.groupBy("conv_id", "segment").cogroup(plans.groupBy("conv_id", "segment")).applyInPandas(write, schema)
+        ways = {(None if pd.isna(i) else i, s): (b, e, z) for i, s, b, e, z in zip(*(plan[c] for c in ("conv_id", "segment", "begin", "end", "last")))}
+        out = []
+        for own in _apart(pdf, "conv_id", "segment"):
+            conv, number = own["conv_id"].iloc[0], own["segment"].iloc[0]
+            roles, texts = _ordered(own)
+            begin, end, last = ways[None if pd.isna(conv) else conv, number]
+            text, actions, opened, cost = render(roles, texts, int(begin), int(end), bool(last))
+            out.append((conv, number, len(roles), opened, cost, actions, text))
+        return pd.DataFrame(out, columns=["conv_id", "segment", "n_turns", "n_out", "cost", "actions", "rendered"])
+
+    found = rows.groupBy("lot").applyInPandas(costs, "conv_id string, segment long, lot long, costs array<double>")
+    found = found.withColumn("of_conv", F.pmod(F.xxhash64("conv_id"), F.lit(lots)))
+    plans = found.groupBy("of_conv").applyInPandas(chain, "conv_id string, segment long, lot long, begin int, end int, last boolean")
+    plans = common.written(plans, "chat-plans")
+    schema = "conv_id string, segment long, n_turns long, n_out long, cost long, actions string, rendered string"
+    out = rows.groupBy("lot").cogroup(plans.groupBy("lot")).applyInPandas(write, schema)
+    return out.withColumn("conv_id", F.col("conv_id").cast(id_type))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
