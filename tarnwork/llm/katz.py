@@ -123,13 +123,23 @@ class Chunk:
         before[1:] = self.tokens[:-1]
         before[self.starts] = 0
         both, of = np.unique(before.astype(np.uint64) << np.uint64(32) | self.tokens, return_inverse=True)
-        c, w = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        hash_c, hash_w = self.words[c], self.words[w]
-        spread = hash_c ^ (hash_w * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7))
-        bucket = (np.where(is_hot(counts, n)[c], spread, hash_c) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((hash_w, hash_c, bucket))
+        del before
+        of = of.astype(np.uint32)
+        c, w = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        del both
+        hash_w = self.words[w]
+        spread = hash_w * np.uint64(0x9E3779B97F4A7C15)
+        spread >>= np.uint64(7)
+        spread[~is_hot(counts, n)[c]] = 0  # only the pairs of hot contexts are spread by their words
+        hash_c = self.words[c]
+        spread ^= hash_c
+        spread %= np.uint64(buckets)
+        bucket = spread.astype(np.int32)
+        del spread
+        order = np.lexsort((hash_w, hash_c, bucket)).astype(np.uint32)
+        del hash_w, hash_c
         place = np.empty_like(order)
-        place[order] = np.arange(len(order))
+        place[order] = np.arange(len(order), dtype=np.uint32)
         return c[order], w[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), place[of]
 
 
