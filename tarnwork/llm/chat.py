@@ -133,15 +133,19 @@ def render(roles: list[int], texts: list[str], start: int, end: int, last: bool)
     return "".join(out), "; ".join(names), opened, cost
 
 
-def _ordered(pdf: pd.DataFrame) -> tuple[list[int], list[str]]:
-    pdf = pdf.sort_values(["turn", "role", "text"], na_position="last", kind="stable")
+def _columns(pdf: pd.DataFrame) -> tuple[list[int], list[str]]:
     return [role_number(r) for r in pdf["role"]], [t if isinstance(t, str) else "" for t in pdf["text"]]
 
 
-def _apart(pdf: pd.DataFrame, *keys: str):
-    """The rows of each key (nulls are a key), as frames."""
-    for _, own in pdf.groupby(list(keys), dropna=False, sort=False):
-        yield own
+def _apart(pdf: pd.DataFrame, keys: list[str], order: list[str]):
+    """The rows of each key (nulls are a key) in an order, as frames. All are sorted at once: small sorts cost more than their work."""
+    pdf = pdf.sort_values([*keys, *order], na_position="last", ignore_index=True)
+    before = pdf[keys].shift()
+    same = ((pdf[keys] == before) | (pdf[keys].isna() & before.isna())).all(axis=1)
+    same.iloc[:1] = False
+    starts = np.flatnonzero(~same.to_numpy())
+    for start, end in zip(starts, [*starts[1:], len(pdf)]):
+        yield pdf.iloc[start:end]
 
 
 def formatted(turns: DataFrame) -> DataFrame:
@@ -156,15 +160,14 @@ def formatted(turns: DataFrame) -> DataFrame:
 
     def costs(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for own in _apart(pdf, "conv_id", "segment"):
-            roles, _ = _ordered(own)
+        for own in _apart(pdf, ["conv_id", "segment"], ["turn", "role", "text"]):
+            roles, _ = _columns(own)
             out.append((own["conv_id"].iloc[0], own["segment"].iloc[0], own["lot"].iloc[0], np.concatenate([forward(roles, s)[0] for s in range(4)]).tolist()))
         return pd.DataFrame(out, columns=["conv_id", "segment", "lot", "costs"])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for own in _apart(pdf, "conv_id"):
-            own = own.sort_values("segment", ignore_index=True)
+        for own in _apart(pdf, ["conv_id"], ["segment"]):
             cost, back = np.array([0, np.inf, np.inf, np.inf]), []
             for flat in own["costs"]:
                 through = cost[:, None] + np.array(flat).reshape(4, 4)
@@ -183,9 +186,9 @@ def formatted(turns: DataFrame) -> DataFrame:
     def write(pdf: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
         ways = {(None if pd.isna(i) else i, s): (b, e, z) for i, s, b, e, z in zip(*(plan[c] for c in ("conv_id", "segment", "begin", "end", "last")))}
         out = []
-        for own in _apart(pdf, "conv_id", "segment"):
+        for own in _apart(pdf, ["conv_id", "segment"], ["turn", "role", "text"]):
             conv, number = own["conv_id"].iloc[0], own["segment"].iloc[0]
-            roles, texts = _ordered(own)
+            roles, texts = _columns(own)
             begin, end, last = ways[None if pd.isna(conv) else conv, number]
             text, actions, opened, cost = render(roles, texts, int(begin), int(end), bool(last))
             out.append((conv, number, len(roles), opened, cost, actions, text))
