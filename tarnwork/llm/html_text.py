@@ -8,7 +8,8 @@ than many sites repeat one menu, and those copies are content.
 
 Counts alone miss templates that differ from page to page, so menus, headers, footers, sidebars,
 notices, adverts, forms, scripts and reader comments are also told by element name and by class, id
-and role. If a page has articles (or else a main part), only their text is taken.
+and role. If a page has a main part, only its text is taken, or that of the articles if they hold
+at least half of the text of both, or of the page if it has no main part.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and
 joined in page order by one space. Null and empty pages, and pages without text, give the empty
@@ -36,7 +37,7 @@ SALTS = 64
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg iframe object textarea math canvas audio video title".split())
-DROPPED = frozenset("nav footer aside form button select dialog menu head datalist fieldset figcaption".split())
+DROPPED = frozenset("nav footer aside form button select dialog menu head datalist fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp nobr".split())
 HASHED = frozenset("div section ul ol dl table nav footer header aside form article main figure details".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -49,18 +50,27 @@ MARKS = frozenset(
 )
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*+>", re.S)
 _attribute = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_hidden = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_mark = re.compile(r"[a-z]+")
+_quoted = re.compile(r"\"[^\"]*\"|'[^']*'")
+_hidden = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_undisplayed = re.compile(r"""\bstyle\s*=\s*(?:"[^"]*display\s*:\s*none|'[^']*display\s*:\s*none|display:none)""", re.I)
+#: A mark with a name before it (site-footer) or a kind of box after it (comments-list). States of a wrapper (has-comments, with-sidebar) aren't marks.
+_ends = "|".join(sorted(MARKS - {"hidden"}))
+_compound = re.compile(rf"(?!(?:has|with|without|no|is|show|hide)[-_])[a-z0-9_-]+[-_](?:{_ends})|(?:{_ends})[-_](?:area|list|section|wrapper|container|box|bar|block|slot|left|right|top|bottom|form|links|items?)")
 _main = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
 
 
+def _unseen(attributes: str) -> bool:
+    return bool(_hidden.search(_quoted.sub("''", attributes)) or _undisplayed.search(attributes))
+
+
 def _marked(attributes: str) -> bool:
     if not attributes.strip():
         return False
     for _, value in _attribute.findall(attributes):
-        if not MARKS.isdisjoint(_mark.findall(value.lower())):
-            return True
-    return bool(_hidden.search(attributes))
+        for name in value.strip("\"'").lower().split():
+            if name in MARKS or _compound.fullmatch(name):
+                return True
+    return _unseen(attributes)
 
 
 def _signed(digest: int) -> int:
@@ -132,7 +142,7 @@ def parsed(page: str | None, templates=frozenset()) -> tuple[str, set[int]]:
         rank = root
         out = dropped
         if not out:
-            out = name in DROPPED or name == "header" and not root or bool(attributes) and name not in ("html", "body") and _marked(attributes)
+            out = name in DROPPED or name == "header" and not root or bool(attributes) and name not in ("html", "body") and (_unseen(attributes) if name == "main" or name == "article" and root < 2 else _marked(attributes))
             if not out and name == "article":
                 rank = 2
             elif not out and root < 2 and (name == "main" or attributes and _main.search(attributes)):
@@ -142,7 +152,10 @@ def parsed(page: str | None, templates=frozenset()) -> tuple[str, set[int]]:
     flush()
     while stack:
         close(end)
-    best = max((rank for rank, _ in blocks), default=0)
+    # A teaser in an article element isn't the page's text: articles must hold half of the text around them.
+    sizes = [sum(len(text) for rank, text in blocks if rank >= r) for r in range(3)]
+    outer = 1 if any(rank == 1 for rank, _ in blocks) else 0
+    best = 2 if sizes[2] and 2 * sizes[2] >= sizes[outer] else outer
     return " ".join(text for rank, text in blocks if rank >= best), hashes
 
 

@@ -90,6 +90,21 @@ def test_pages(page, text):
     assert text is None or got == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article class='post has-comments'><p>kept</p></article>", "kept"),
+        ("<div class='content with-sidebar'><p>kept</p></div>", "kept"),
+        ("<div class='overflow-hidden' style='overflow:hidden'><p>kept</p></div>", "kept"),
+        ("<main><p>the long text of the page itself</p><article class='card'>teaser</article></main>", "the long text of the page itself teaser"),
+        ("<article><p>a</p><figure><figcaption>caption</figcaption></figure></article>", "a caption"),
+        ("<div class='site-footer'>no</div><div class='comments-list'>no</div><div style='display:none'>no</div><p>yes</p>", "yes"),
+    ],
+)
+def test_marks_leave_content(page, text):
+    assert html_text.parsed(page)[0] == text
+
+
 def test_templates_go(spark):
     rows = [(i, f"http://Site.example/{i}", f"<body><div class=x>Same everywhere</div><div><p>Own text {i}</p></div></body>", "k") for i in range(12)]
     rows += [(100 + i, f"https://other.example/{i}", f"<body><div class=x>Same everywhere</div><p>{i}</p></body>", "k") for i in range(3)]
