@@ -1,8 +1,10 @@
 """Main text of web pages by site template removal.
 
 A page is read tag by tag. Every container element's subtree is hashed, and Spark counts in how many
-pages of its host each hash occurs. A subtree that recurs in at least ``SHARE`` of the host's pages,
-and in ``PAGES`` at least, is template and is deleted. Running text (paragraphs, headings, list
+pages of its host each hash occurs. A subtree that recurs in ``PAGES`` of the host's pages is
+template and is deleted if it holds no running text; else it must recur in ``SHARE`` of them, too.
+Whatever lies in an article or main part, or holds a paragraph, a heading or more than ``SHORT``
+characters between tags, counts as running text. Running text (paragraphs, headings, list
 items) isn't hashed on its own: articles quote each other and are copied within a site more often
 than many sites repeat one menu, and those copies are content.
 
@@ -30,6 +32,7 @@ from tarnwork.llm import common
 
 SHARE = 0.3
 PAGES = 5
+SHORT = 60
 #: Up to so many (host, hash) rows the templates are broadcast, 16 bytes and a host name each; beyond, they are joined by a salted shuffle.
 MOST_BROADCAST = 100_000
 SALTS = 64
@@ -41,6 +44,7 @@ DROPPED = frozenset("nav footer aside form button select dialog menu head datali
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp nobr".split())
 HASHED = frozenset("div section ul ol dl table nav footer header aside form article main figure details".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | {"p", "pre", "blockquote", "article", "main"}
 #: Words in class, id and role that mark what isn't the article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs "
@@ -82,9 +86,9 @@ def parsed(page: str | None, templates=frozenset()) -> tuple[str, set[int]]:
     page = page or ""
     blocks: list[tuple[int, str]] = []  # the rank of the enclosing root (2: article, 1: main, 0: none) and the text
     current: list[str] = []
-    stack: list[tuple[str, bool, int, int, int]] = []  # name, dropped, root rank, first block, where it starts
+    stack: list[tuple[str, bool, int, int, int, int]] = []  # name, dropped, root rank, first block, where it starts, running texts before
     hashes: set[int] = set()
-    dropped, root, at, end = False, 0, 0, len(page)
+    dropped, root, at, end, running = False, 0, 0, len(page), 0
 
     def flush():
         if current:
@@ -94,9 +98,10 @@ def parsed(page: str | None, templates=frozenset()) -> tuple[str, set[int]]:
 
     def close(position: int):
         nonlocal dropped, root
-        name, _, _, first, start = stack.pop()
+        name, _, rank, first, start, before = stack.pop()
         if name in HASHED:
-            digest = _signed(xxhash.xxh64_intdigest(page[start:position]))
+            # The lowest bit tells whether there is running text.
+            digest = _signed(xxhash.xxh64_intdigest(page[start:position]) & ~1 | (rank > 0 or running > before))
             hashes.add(digest)
             if digest in templates:
                 del blocks[first:]
@@ -105,8 +110,10 @@ def parsed(page: str | None, templates=frozenset()) -> tuple[str, set[int]]:
     while at < end:
         match = _token.search(page, at)
         stop = match.start() if match else end
-        if stop > at and not dropped:
-            current.append(html.unescape(page[at:stop]))
+        if stop > at:
+            running += stop - at > SHORT and len(page[at:stop].strip()) > SHORT
+            if not dropped:
+                current.append(html.unescape(page[at:stop]))
         if not match:
             break
         at = match.end()
@@ -131,7 +138,7 @@ def parsed(page: str | None, templates=frozenset()) -> tuple[str, set[int]]:
             continue
         if name in INLINE:
             if not dropped and attributes and _marked(attributes):
-                stack.append((name, True, root, len(blocks), match.start()))
+                stack.append((name, True, root, len(blocks), match.start(), running))
                 dropped = True
             continue
         flush()
@@ -147,7 +154,8 @@ def parsed(page: str | None, templates=frozenset()) -> tuple[str, set[int]]:
                 rank = 2
             elif not out and root < 2 and (name == "main" or attributes and _main.search(attributes)):
                 rank = 1
-        stack.append((name, out, rank, len(blocks), match.start()))
+        stack.append((name, out, rank, len(blocks), match.start(), running))
+        running += name in PROSE
         dropped, root = out, rank
     flush()
     while stack:
@@ -176,13 +184,13 @@ def templates(pages: DataFrame) -> DataFrame:
     counted = found.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "hashes")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
     counted = common.written(counted.where((F.col("n") >= PAGES) | F.col("hash").isNull()), "subtrees")
     all_pages = counted.where("hash IS NULL").select("host", F.col("n").alias("pages"))
-    return counted.where("hash IS NOT NULL").join(all_pages, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "hash")
+    return counted.where("hash IS NOT NULL").join(all_pages, "host").where((F.col("hash").bitwiseAND(F.lit(1)) == 0) | (F.col("n") >= SHARE * F.col("pages"))).select("host", "hash")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     recurring = common.written(templates(pages), "templates")
-    # At most 1 / SHARE times the containers of a page for each host.
+    # At most 1 / PAGES of the containers of all pages of a host.
     by_host = recurring.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     if recurring.count() <= MOST_BROADCAST:

@@ -116,6 +116,16 @@ def test_templates_go(spark):
     assert got[200, None] == "" and got[None, "no url"] == "x"
 
 
+def test_rare_templates_without_running_text_go(spark):
+    menu, quoted, listed = "<div>Home Shop</div>", "<div><p>quoted</p></div>", "<ul><li>in a list</ul>"
+    rows = [(i, "http://a/x", f"{menu * (i < 5)}{quoted * (i < 5)}<article><p>{i}</p>{listed * (i < 5)}</article>" if i % 2 else f"{menu * (i < 5)}{quoted * (i < 5)}<p>{i}</p>") for i in range(60)]
+    rows += [(100, "http://b/x", menu)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extracted(pages).collect()}
+    assert got[0] == "quoted 0" and got[2] == "quoted 2" and got[50] == "50" and got[100] == "Home Shop"
+    assert "in a list" in got[1]
+
+
 def test_templates_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(html_text, "MOST_BROADCAST", -1)
     rows = [(i, "http://a/x", f"<div>menu</div><p>{i}</p>") for i in range(8)]
