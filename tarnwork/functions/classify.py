@@ -34,7 +34,8 @@ def looks_like_json(text: Column) -> Column:
 
 
 def _head(text: Column) -> Column:
-    return F.transform(F.slice(tx.lines(text), 1, VOTERS), tx.trim)
+    # The rest of the text is one more piece, so a long text isn't cut up.
+    return F.transform(F.slice(F.split(text, "\n", VOTERS + 1), 1, VOTERS), tx.trim)
 
 
 def looks_like_log(text: Column) -> Column:
@@ -53,13 +54,17 @@ def payload_kind(text: Column) -> Column:
 
 def language(path: Column, source: Column) -> Column:
     """rust, python, javascript or unknown: by the path's ending, else by the first lines; ties go in that order."""
-    low, head = tx.ascii_lower(path), _head(source)
+    low = tx.ascii_lower(path)
 
-    def votes(starts: tuple[str, ...]) -> Column:
+    def votes(head: Column, starts: tuple[str, ...]) -> Column:
         return F.size(F.filter(head, lambda line: _any(line.startswith(x) for x in starts)))
 
-    r, p, j = (votes(STARTS[k]) for k in ("rust", "python", "javascript"))
+    def winner(votes_of: Column) -> Column:
+        most = F.array_max(votes_of)
+        return F.when(most > 0, F.element_at(F.array(*map(F.lit, STARTS)), F.array_position(votes_of, most).cast("int"))).otherwise("unknown")
+
+    by_lines = tx.bound(_head(source), lambda head: tx.bound(F.array(*(votes(head, starts) for starts in STARTS.values())), winner))
     out = F.when(F.lit(False), "")
     for name, ends in ENDINGS.items():
         out = out.when(_any(low.endswith(x) for x in ends), name)
-    return out.when((r >= p) & (r >= j) & (r > 0), "rust").when((p >= j) & (p > 0), "python").when(j > 0, "javascript").otherwise("unknown")
+    return out.otherwise(by_lines)

@@ -33,7 +33,10 @@ NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
 _number = re.compile(NUMBER)
+#: Words that Python's reader takes for numbers, outside strings.
+_constant = re.compile(r'"(?:[^"\\]|\\.)*+"|(-?(?:NaN|Infinity))', re.S)
 _surrogate = re.compile(r"(?<!\\)(?:\\\\)*\\u[dD][89a-fA-F]")
+_blank = re.compile(r"[ \n\r\t]*")
 _white = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -45,13 +48,12 @@ _decoder = json.JSONDecoder(object_pairs_hook=Pairs, parse_float=Number, parse_i
 
 
 def read_json(text: str):
-    """The value of a JSON text; ValueError if it isn't one. Escaped surrogates aren't accepted."""
-    if _surrogate.search(text):
-        raise ValueError("surrogate escape")
-    body = text.strip(" \n\r\t")
-    value, end = _decoder.raw_decode(body)
-    if end != len(body):
-        raise ValueError("text after the value")
+    """The value of a JSON text; JSONDecodeError, at the place where reading stopped, if it isn't one. Escaped surrogates aren't accepted."""
+    if surrogate := _surrogate.search(text):
+        raise json.JSONDecodeError("Surrogate escape", text, surrogate.end() - 4)
+    value, end = _decoder.raw_decode(text, _blank.match(text).end())
+    if (end := _blank.match(text, end).end()) < len(text):
+        raise json.JSONDecodeError("Extra data", text, end)
     return value
 
 
@@ -186,7 +188,7 @@ class _Reader:
 
 
 def from_yaml(text: str | None) -> str | None:
-    """Compact JSON of block YAML; null where the text isn't in the dialect."""
+    """Compact JSON of block YAML; null where the text isn't in the dialect or is nested deeper than Python's recursion limit."""
     if text is None:
         return None
     reader = _Reader(text)
@@ -195,8 +197,11 @@ def from_yaml(text: str | None) -> str | None:
     first = reader.rows[0][1]
     if len(reader.rows) == 1 and first != "-" and not first.startswith("- ") and not _entry.match(first):
         return to_json(_value(first))
-    value = reader.block(reader.rows[0][0])
-    return to_json(value) if reader.at == len(reader.rows) else None
+    try:
+        value = reader.block(reader.rows[0][0])
+        return to_json(value) if reader.at == len(reader.rows) else None
+    except RecursionError:
+        return None
 
 
 @pandas_udf(T.StringType())
@@ -221,10 +226,13 @@ def json_error(texts: pd.Series) -> pd.DataFrame:
             return True, None, None
         except json.JSONDecodeError as e:
             return False, e.msg, e.pos
-        except (ValueError, RecursionError) as e:
-            return False, str(e) or "nested too deeply", None
+        except ValueError:
+            return False, "Expecting value", next(m.start() for m in _constant.finditer(text) if m[1])
+        except RecursionError:
+            return False, "Nested too deeply", None
 
-    return pd.DataFrame([row(t) for t in texts], columns=["ok", "message", "position"])
+    out = pd.DataFrame([row(t) for t in texts], columns=["ok", "message", "position"])
+    return out.astype({"position": "Int32"})
 
 
 def plain_scalar(s: Column) -> Column:

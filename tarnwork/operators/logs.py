@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from tarnwork.functions import text as tx
 
 # Escape sequences; tickers, removed in this order; lines that are dropped; starts of compile lines.
-ANSI = r"\x1b(?:\[[0-9;?]*[A-Za-z]|.*?(?:\x07|\x1b\\)|[()][AB012])"
+ANSI = r"\x1b(?:\[[0-9;?]*[A-Za-z]|\].*?(?:\x07|\x1b\\)|[()][AB012])"
 TICKERS = (
     r"\[\s*\d+\s*/\s*\d+\s*\]",
     r"\(\s*\d+\s*/\s*\d+\s*\)",
@@ -28,7 +28,8 @@ DROPPED = (
 COMPILE_STARTS = ("Compiling ", "Checking ", "Downloading ", "Downloaded ", "Fresh ")
 #: Classes and case as in Unicode, and only the line feed ends a line.
 _MODE = "(?Ud)"
-_MARK = "\x01"
+#: First character of every line while runs are searched: compile line or another one.
+_COMPILE, _OTHER = "c", "o"
 
 
 def last_frame(line: Column) -> Column:
@@ -84,13 +85,14 @@ def compress_run(run: Column) -> Column:
 def compress_lines(lines: Column) -> Column:
     """Cleaned lines in order (empty: a gap) without repeats and with long compile runs summed up.
 
-    Compile lines are marked and joined, so that one linear pattern finds the runs.
+    Every line gets a first character that tells compile lines from others, whatever they hold, and all
+    are joined, so that one linear pattern finds the runs.
     """
-    marked = F.transform(lines, lambda x: F.concat(F.when(is_compile_line(x), _MARK).otherwise(""), x, F.lit("\n")))
-    parts = F.regexp_extract_all(F.array_join(marked, ""), F.lit(rf"(?:{_MARK}[^\n]*+\n)++|[^\n]++\n|\n"), F.lit(0))
-    single = lambda p: F.array(F.struct(F.regexp_replace(p, r"\n\z", "").alias("line"), F.lit(False).alias("always")))
-    run = lambda p: F.array_distinct(F.split(F.regexp_replace(F.regexp_replace(p, r"\n\z", ""), _MARK, ""), "\n"))
-    entries = F.flatten(F.transform(parts, lambda p: F.when(p.startswith(_MARK), compress_run(run(p))).otherwise(single(p))))
+    marked = F.transform(lines, lambda x: F.concat(F.when(is_compile_line(x), _COMPILE).otherwise(_OTHER), x, F.lit("\n")))
+    parts = F.regexp_extract_all(F.array_join(marked, ""), F.lit(rf"(?:{_COMPILE}[^\n]*+\n)++|{_OTHER}[^\n]*+\n"), F.lit(0))
+    bare = lambda p: F.transform(F.split(F.regexp_replace(p, r"\n\z", ""), "\n"), lambda x: F.substr(x, F.lit(2)))
+    single = lambda p: F.array(F.struct(bare(p)[0].alias("line"), F.lit(False).alias("always")))
+    entries = F.flatten(F.transform(parts, lambda p: F.when(p.startswith(_COMPILE), compress_run(F.array_distinct(bare(p)))).otherwise(single(p))))
     entries = F.filter(entries, lambda e: e["line"] != "")
     # A skipped line equals the one before it, so comparing with the entry before is comparing with the line last kept.
     fresh = lambda all_of, e, i: e["always"] | (i == 0) | (e["line"] != F.get(all_of, i - 1)["line"])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tarnwork.functions import text as tx
 from tarnwork.operators import vectors
 from tarnwork.operators.ranking import ranked
+from tarnwork.sources.readers import written
 
 # Weights of the rankers; confidences of name matches; hits that count as certain.
 VECTOR, SYMBOL, KEYWORD = ("vector", 1.15), ("ast", 1.00), ("regex", 0.85)
@@ -31,19 +32,22 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.levenshtein(a, b) / longest))
 
 
-def _hits(scored: DataFrame, ranker: tuple[str, float], *order: Column, limit: int | None = None) -> DataFrame:
-    out = ranked(scored, *order, "seq", limit=limit)
+def _hits(candidates: DataFrame, scored: DataFrame, ranker: tuple[str, float], *order: Column, limit: int | None = None) -> DataFrame:
+    """``scored`` has seq, confidence and what the order needs; texts are joined to the ranks, not sorted with them."""
+    out = ranked(scored, *order, "seq", limit=limit).join(candidates, "seq")
     return out.withColumn("ranker", F.lit(ranker[0])).withColumn("weight", F.lit(ranker[1])).withColumnRenamed("source", "content").select(*HIT)
 
 
-def vector_hits(candidates: DataFrame, idf: DataFrame, query: str, limit: int | None = None) -> DataFrame:
-    """All candidates by cosine with "name kind source"; those that share nothing with the query have 0."""
-    spark = candidates.sparkSession
-    texts = candidates.select("seq", F.concat_ws(" ", "name", "kind", "source").alias("blob"))
-    own = vectors.weights(spark.createDataFrame([(0, query)], "query long, text string"), "query", "text", idf)
-    similar = vectors.cosine(own, vectors.weights(texts, "seq", "blob", idf), "query", "seq").select("seq", "similarity")
-    scored = candidates.join(similar, "seq", "left").withColumn("confidence", F.coalesce("similarity", F.lit(0.0)))
-    return _hits(scored, VECTOR, F.desc("confidence"), limit=limit)
+def embedded(candidates: DataFrame) -> DataFrame:
+    """seq and the counts of "name kind source", which don't depend on a query."""
+    return vectors.counted(candidates.select("seq", F.concat_ws(" ", "name", "kind", "source").alias("blob")), "seq", "blob")
+
+
+def vector_hits(candidates: DataFrame, counts: DataFrame, lengths: DataFrame, idf: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """All candidates by cosine of their ``embedded`` counts; those that share nothing with the query have 0."""
+    similar = vectors.similarities(query, counts, lengths, "seq", idf)
+    scored = candidates.select("seq").join(similar, "seq", "left").select("seq", F.coalesce("similarity", F.lit(0.0)).alias("confidence"))
+    return _hits(candidates, scored, VECTOR, F.desc("confidence"), limit=limit)
 
 
 def name_confidence(name: Column, token: Column) -> Column:
@@ -57,7 +61,7 @@ def symbol_hits(candidates: DataFrame, query: str) -> DataFrame:
     name = tx.ascii_lower(F.col("name"))
     tokens = F.array(*map(F.lit, dict.fromkeys(query_tokens(query)))) if query_tokens(query) else F.array().cast("array<string>")
     best = F.coalesce(F.array_max(F.transform(tokens, lambda t: name_confidence(name, t))), F.lit(0.0))
-    return _hits(candidates.withColumn("confidence", best).where("confidence > 0"), SYMBOL, F.desc("confidence"))
+    return _hits(candidates, candidates.select("seq", best.alias("confidence")).where("confidence > 0"), SYMBOL, F.desc("confidence"))
 
 
 def keyword_count(text: Column, query: str) -> Column:
@@ -68,8 +72,9 @@ def keyword_count(text: Column, query: str) -> Column:
 
 def keyword_hits(candidates: DataFrame, query: str) -> DataFrame:
     """Candidates by the number of keyword hits; confidence is a quarter of it, or the share of the words, up to 1."""
-    words = F.size(F.filter(F.split("source", rf"{tx.WHITE}+"), lambda w: w != ""))
-    scored = candidates.withColumn("hits", keyword_count(F.col("source"), query)).where("hits > 0")
-    density = F.col("hits") / F.greatest(words, F.lit(1))
+    words = F.regexp_count("source", F.lit(rf"[^{tx.WHITE}]++"))
+    # Written: a range sort reads its input twice.
+    scored = written(candidates.select("seq", keyword_count(F.col("source"), query).alias("hits"), words.alias("words")).where("hits > 0"), "keyword-counts")
+    density = F.col("hits") / F.greatest("words", F.lit(1))
     confidence = F.greatest(F.least(F.col("hits") / float(CERTAIN_HITS), F.lit(1.0)), F.least(density, F.lit(1.0)))
-    return _hits(scored.withColumn("confidence", confidence), KEYWORD, F.desc("hits"), F.desc("confidence"))
+    return _hits(candidates, scored.select("seq", "hits", confidence.alias("confidence")), KEYWORD, F.desc("hits"), F.desc("confidence"))

@@ -72,16 +72,21 @@ def _indent(line: str) -> int:
 
 
 def brace_end(text: str, at: int) -> int | None:
-    """Where the block that opens after ``at`` ends; a semicolon before any brace ends it at once."""
+    """Where the block that opens after ``at`` ends; a semicolon before any brace ends it at once.
+
+    Closing braces before the first opening one belong to what surrounds the header and are passed over.
+    """
     depth = 0
     for m in _braces.finditer(text, at):
-        c = m[0]
-        if c == ";" and not depth:
-            return m.end()
-        depth += (c == "{") - (c == "}" and depth > 0)
-        if c == "}" and not depth and opened:
-            return m.end()
-        opened = depth > 0
+        match m[0]:
+            case "{":
+                depth += 1
+            case ";" if not depth:
+                return m.end()
+            case "}" if depth == 1:
+                return m.end()
+            case "}":
+                depth = max(depth - 1, 0)
     return None
 
 
@@ -145,16 +150,19 @@ def call_sites(text: str) -> list[str]:
     return sorted(out)
 
 
+def _imported(text: str):
+    """Names brought in by each statement, with repeats: the parts of a used path; a module's last part and its listed names."""
+    for use in _use.finditer(text):
+        yield from (part for part in map(str.strip, re.split(r"[:{}, \n]", use[1])) if part not in ("", *NOT_NAMES))
+    for module, listed, plain in _import.findall(text):
+        yield (module or plain).rpartition(".")[2]
+        # An alias is the last word of its entry.
+        yield from (entry.split()[-1] for entry in listed.split(",") if entry.strip() not in ("", "*"))
+
+
 def imports(text: str) -> list[str]:
     """Names that a file's use and import statements bring in, distinct and sorted."""
-    out = set()
-    for m in _use.finditer(text):
-        out.update(t for x in re.split(r"[:{}, \n]", m[1]) if (t := x.strip()) and t not in NOT_NAMES)
-    for m in _import.finditer(text):
-        if m[2] is not None:
-            out.update(t.split()[-1] for x in m[2].split(",") if (t := x.strip()) and t != "*")
-        out.update(x.split(".")[-1] for x in (m[1], m[3]) if x is not None)
-    return sorted(out)
+    return sorted(set(_imported(text)))
 
 
 def struct_fields(text: str) -> list[str]:

@@ -1,45 +1,98 @@
-"""Sparse TF-IDF vectors in long form, and cosine similarity by joins."""
+"""Sparse TF-IDF vectors: a row per text with its distinct features and their counts, and cosine similarity.
+
+Counts are made once for each text, where it lies; only distinct features are ever shuffled, and a
+query's similarity needs no more than the rows of its own few features.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from collections import Counter
+from itertools import chain
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from tarnwork.sources.readers import written
+
+#: Features up to which a table of idf or of a query's weights is sent to every task, about 100 bytes each; beyond, it is joined by a shuffle.
+MOST_SENT = 200_000
+#: Features after which a worker hands its rows on.
+BATCH = 100_000
 
-from tarnwork.functions import text as tx
+_word = re.compile("[A-Za-z0-9_]{2,}")
+_control = re.compile("[\x00-\x1f\x7f-\x9f]")
+_lower = {c: c + 32 for c in range(65, 91)}
 
 
-def features(text: Column) -> Column:
-    """All features of a text with repeats: tokens, neighbouring token pairs and character triples share one space."""
-    words = tx.tokens(text)
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    # An array of characters: positions in a string would be counted from its start each time.
-    chars = F.filter(F.split(F.regexp_replace(tx.ascii_lower(text), r"\p{Cc}", ""), ""), lambda c: c != "")
-    triple = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
-    triples = tx.bound(chars, lambda c: F.when(F.size(c) >= 3, triple(c)).otherwise(F.array().cast("array<string>")))
-    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()), triples)
+def features(text: str) -> Counter[str]:
+    """Counts of a text's features: tokens, neighbouring token pairs and character triples share one space."""
+    low = text.lower() if text.isascii() else text.translate(_lower)
+    words = _word.findall(low)
+    chars = _control.sub("", low)
+    return Counter(chain(words, map(" ".join, zip(words, words[1:])), map("".join, zip(chars, chars[1:], chars[2:]))))
 
 
 def counted(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, feature, tf."""
-    return docs.select(key, F.explode(features(F.col(text))).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("tf"))
+    """key, and counts: the text's distinct features in order as an array of (feature, tf). Null texts have none."""
+    kind = docs.schema[key].dataType.simpleString()
 
+    def made(keys, ends, names, numbers):
+        pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(numbers, pa.int32())], ["feature", "tf"])
+        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], [key, "counts"])
 
-def fit_idf(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """feature and idf = ln((n + 1) / (df + 1)) + 1."""
-    n = max(docs.count(), 1)
-    df = docs.select(F.explode(F.array_distinct(features(F.col(text)))).alias("feature")).groupBy("feature").agg(F.count("*").alias("df"))
+    def run(batches):
+        for batch in batches:
+            first, ends, names, numbers = 0, [0], [], []
+            for i in range(batch.num_rows):
+                own = sorted(features(batch.column(1)[i].as_py() or "").items())
+                names.extend(f for f, _ in own)
+                numbers.extend(n for _, n in own)
+                ends.append(len(names))
+                if len(names) >= BATCH or i == batch.num_rows - 1:
+                    yield made(batch.column(0).slice(first, i + 1 - first), ends, names, numbers)
+                    first, ends, names, numbers = i + 1, [0], [], []
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, counts array<struct<feature: string, tf: int>>")
+
+
+def idf_of(counts: DataFrame) -> DataFrame:
+    """feature and idf = ln((n + 1) / (df + 1)) + 1 over rows of counts."""
+    n = max(counts.count(), 1)
+    df = counts.select(F.explode("counts.feature").alias("feature")).groupBy("feature").agg(F.count("*").alias("df"))
     return df.select("feature", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
-def weights(docs: DataFrame, key: str, text: str, idf: DataFrame) -> DataFrame:
+def fit_idf(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return idf_of(written(counted(docs, key, text), "counts"))
+
+
+def weights(counts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
     """key, feature and weight; features that weren't fitted count once."""
-    return counted(docs, key, text).join(idf, "feature", "left").select(key, "feature", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("weight"))
+    sent = F.broadcast(idf) if idf.limit(MOST_SENT + 1).count() <= MOST_SENT else idf
+    rows = counts.select(key, F.inline("counts")).join(sent, "feature", "left")
+    return rows.select(key, "feature", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("weight"))
+
+
+def norms(weighted: DataFrame, key: str) -> DataFrame:
+    """key and norm of rows of weights; texts without features have none."""
+    return weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+
 
+def similarities(query: str, counts: DataFrame, lengths: DataFrame, key: str, idf: DataFrame) -> DataFrame:
+    """key and similarity (cosine, clamped to 0 .. 1) of the rows of counts, with their norms, that share a feature with the query.
 
-def cosine(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str) -> DataFrame:
-    """Similarity of weight tables (key, feature, weight), for pairs that share a feature; clamped to 0 .. 1."""
-    norm = lambda t, k: t.groupBy(k).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(f"{k}_norm"))
-    q, d = queries.withColumnRenamed("weight", "qw"), docs.withColumnRenamed("weight", "dw")
-    dot = q.join(d, "feature").groupBy(query_key, doc_key).agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
-    out = dot.join(norm(queries, query_key), query_key).join(norm(docs, doc_key), doc_key)
-    sim = F.col("dot") / (F.col(f"{query_key}_norm") * F.col(f"{doc_key}_norm"))
-    return out.select(query_key, doc_key, F.least(F.greatest(sim, F.lit(0.0)), F.lit(1.0)).alias("similarity"))
+    A query's features are as many as its characters at most, so they can be sent to every task; its
+    weights need the idf of those features alone.
+    """
+    own = sorted(features(query).items())
+    asked = counts.sparkSession.createDataFrame(own, "feature string, qtf int")
+    few = len(own) <= MOST_SENT
+    known = idf.join(F.broadcast(asked) if few else asked, "feature")
+    # Features that weren't fitted have an idf of 1.
+    known = written(asked.join(known.select("feature", "idf"), "feature", "left").select("feature", (F.col("qtf") * F.coalesce("idf", F.lit(1.0))).alias("qw"), F.coalesce("idf", F.lit(1.0)).alias("idf")), "query")
+    length = known.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw")))).first()[0]
+    rows = counts.select(key, F.inline("counts")).join(F.broadcast(known) if few else known, "feature")
+    dot = rows.groupBy(key).agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
+    sim = F.col("dot") / (F.col("norm") * F.lit(length))
+    return dot.join(lengths, key).select(key, F.least(F.greatest(sim, F.lit(0.0)), F.lit(1.0)).alias("similarity"))

@@ -14,7 +14,7 @@ from tarnwork.functions import classify, jsonyaml, text as tx
 from tarnwork.operators import code, fusion, graph, logs, rankers, scopes, vectors
 from tarnwork.plans import pipeline
 from tarnwork.plans.retrieval import RetrievalEngine
-from tarnwork.sources.readers import table
+from tarnwork.sources.readers import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -341,9 +341,10 @@ SELECT s.id AS doc_id, round(least(greatest(dot / (m.m * (SELECT sqrt(sum(w * w)
 )
 def tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    idf = vectors.fit_idf(docs, "doc_id", "text")
-    own = vectors.weights(spark.createDataFrame([(0, SEARCH)], "query long, text string"), "query", "text", idf)
-    out = vectors.cosine(own, vectors.weights(docs, "doc_id", "text", idf), "query", "doc_id")
+    counts = written(vectors.counted(docs, "doc_id", "text"), "counts")
+    idf = written(vectors.idf_of(counts), "idf")
+    lengths = vectors.norms(vectors.weights(counts, "doc_id", idf), "doc_id")
+    out = vectors.similarities(SEARCH, counts, lengths, "doc_id", idf)
     return out.select("doc_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -417,8 +418,8 @@ SELECT n AS id, size FROM g
 """,
 )
 def rrf_cluster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fusion.clustered(_line_hits(spark, sf_dir)).select("file_path", "cluster", "id").distinct()
-    sizes = rows.groupBy("file_path", "cluster").agg(F.count("*").alias("size"), F.collect_list("id").alias("ids"))
+    rows = fusion.clustered(_line_hits(spark, sf_dir)).select("cluster", "id").distinct()
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"), F.collect_list("id").alias("ids"))
     return sizes.select(F.explode("ids").alias("id"), "size")
 
 

@@ -39,7 +39,7 @@ class RetrievalEngine:
     def __init__(self, vector_limit: int | None = None, options: fusion.Fusion = fusion.Fusion()):
         self.files: list[DataFrame] = []
         self.vector_limit, self.options = vector_limit, options
-        self.chunks = self.nodes = self.edges = self.idf = None
+        self.chunks = self.nodes = self.edges = self.idf = self.counts = self.lengths = None
 
     def index(self, files: DataFrame) -> RetrievalEngine:
         """Adds files (file_path, source)."""
@@ -60,6 +60,8 @@ class RetrievalEngine:
         seq = F.concat_ws(":", F.lpad(F.col("batch").cast("string"), 6, "0"), "file_path", F.lpad(F.col("byte_start").cast("string"), 12, "0"), F.lpad(F.col("position").cast("string"), 8, "0"))
         self.chunks = written(parsed.withColumn("seq", seq), "chunks")
         self.idf = written(vectors.fit_idf(self.chunks, "seq", "source"), "idf")
+        self.counts = written(rankers.embedded(self.chunks), "vectors")
+        self.lengths = written(vectors.norms(vectors.weights(self.counts, "seq", self.idf), "seq"), "norms")
         imports = scopes.parse_imports(self.sources)
         nodes, edges = graph.scope_graph(self.chunks, imports)
         self.nodes, self.edges = written(nodes, "nodes"), written(edges, "edges")
@@ -69,7 +71,7 @@ class RetrievalEngine:
         if self.chunks is None:
             self.finalize()
         candidates = self.chunks.withColumn("id", F.col("chunk_id"))
-        vector = written(rankers.vector_hits(candidates, self.idf, query, self.vector_limit), "vector")
+        vector = written(rankers.vector_hits(candidates, self.counts, self.lengths, self.idf, query, self.vector_limit), "vector")
         symbol, keyword = rankers.symbol_hits(candidates, query), rankers.keyword_hits(candidates, query)
         focus = graph.focus_from_hits(vector.select(F.col("id").alias("key"), F.col("confidence").alias("similarity")), FLOOR)
         pagerank = written(graph.personalized_pagerank(self.nodes, self.edges, focus, DAMPING, ITERATIONS, TOLERANCE), "pagerank")

@@ -58,8 +58,10 @@ def test_logs(spark):
     texts = [
         "[1/9] build\n[2/9] build\nerror: x\n", "0%\r50%\r100% done\n", "\x1b[31mred\x1b[0m\n", run + "ok\n", "Compiling a\nCompiling b\n", "a\na\n\na\nb",
         "progress: 3\n|/-\\\n3 / 4\nkeep  this\tline\n", "foo\r\n", "Downloading x\nz\n", "", None,
+        "a \x1b(B hello \x07 b", "a\x1b(Bb \x1bM c\x07", "\x1b]0;title\x07x\n\x1b]8;;u\x1b\\y\n", "\x01one\n\x01two\n\x01three\n\x01four\n", "cat\nCompiling a\nodd\n",
     ]
     expected = ["build\nerror: x\n", "done\n", "red\n", "Compiling c0 v1\ncompiled 5 crates (c0 … c4)\nCompiling c4 v1\nok\n", "Compiling a\nCompiling b\n", "a\nb", "keep this line\n", "", "z\n", "", None]
+    expected += ["a hello \x07 b", "ab \x1bM c\x07", "x\ny\n", "\x01one\n\x01two\n\x01three\n\x01four\n", "cat\nCompiling a\nodd\n"]
     assert apply(spark, logs.clean_log, texts) == expected
 
 
@@ -103,8 +105,16 @@ def test_yaml_form(text, yaml):
 def test_json_columns(spark):
     assert apply(spark, jsonyaml.json_to_yaml, ['{"a": 1}', "x", None]) == ["a: 1", "x", None]
     assert apply(spark, lambda c: jsonyaml.flat_object_yaml(c, ("k", "m")), ['{"k": 1, "m": -2.50}\n', '{"k": 1}', None]) == ["k: 1\nm: -2.50\n", None, None]
-    error = apply(spark, jsonyaml.json_error, ['{"a" 1}', "3"])
-    assert (error[0].ok, error[0].position, error[1].ok) == (False, 5, True)
+    texts = ['{"a" 1}', "3", "   {x}", ' {"a": 1} x', '["NaN", NaN]', '"\\ud83d"', "", None, "[" * 100_000]
+    error = apply(spark, jsonyaml.json_error, texts)
+    assert [(e.ok, e.position) for e in error] == [(False, 5), (True, None), (False, 4), (False, 10), (False, 8), (False, 1), (False, 0), (None, None), (False, None)]
+    assert error[2].message == "Expecting property name enclosed in double quotes" and error[3].message == "Extra data"
+
+
+def test_deep_texts_are_left():
+    deep = "[" * 100_000 + "]" * 100_000
+    assert jsonyaml.to_yaml(deep) == deep
+    assert jsonyaml.from_yaml("\n".join("  " * i + "a:" for i in range(3000))) is None
 
 
 def test_pipeline(spark):

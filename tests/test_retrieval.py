@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tarnwork.operators import fusion, graph, rankers, scopes, vectors
@@ -31,6 +32,22 @@ def test_calls_and_definitions():
     assert "run" in scopes.call_sites("x.run()") and "A" in scopes.call_sites("A::new()")
 
 
+def test_blocks_without_semicolons():
+    ends = lambda text: [(r["name"], r["line_start"], r["line_end"]) for r in scopes.scopes("a.js", text, "javascript")]
+    assert ends("function outer() {\n  const f = x => x + 1\n}\nfunction g() {\n}\n") == [("outer", 1, 3), ("f", 2, 5), ("g", 4, 5)]
+    assert ends("function cut() {\n  if (x) {\n") == []
+    assert [r["name"] for r in scopes.scopes("a.rs", "mod a }\nfn f() { }\n", "rust")] == ["a", "f"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["fn f", "mod a", "class A", "def g", "function h", "const k = x =>", "{", "}", ";", "(", ")", ":", "'", '"', "//", "/*", "*/", "\n", "    ", "\\", "é", "@d", "impl T"]), max_size=30), st.sampled_from(["rust", "python", "javascript", "unknown"]))
+def test_scopes_never_raise(parts, lang):
+    text = " ".join(parts)
+    for row in scopes.scopes("x", text, lang):
+        assert text.encode()[row["byte_start"] : row["byte_end"]].decode() == row["source"]
+    scopes.imports(text)
+
+
 def test_fields():
     assert scopes.struct_fields("pub struct P {\n    pub a: u8,\n    b: Vec<u8>,\n    pub(crate) c: u8,\n}\n") == ["a", "b"]
     assert scopes.struct_fields("struct P { a: u8 }") == []
@@ -64,10 +81,17 @@ def test_pagerank_of_nothing(spark):
 
 def test_cosine_prefers_paraphrase(spark):
     docs = spark.createDataFrame([(1, "verify user password hash"), (2, "render the blue button"), (3, "")], "id int, text string")
+    counts = vectors.counted(docs.union(spark.createDataFrame([(4, None)], "id int, text string")), "id", "text")
     idf = vectors.fit_idf(docs, "id", "text")
-    own = vectors.weights(spark.createDataFrame([(0, "user password check")], "q int, text string"), "q", "text", idf)
-    found = {r.id: r.similarity for r in vectors.cosine(own, vectors.weights(docs, "id", "text", idf), "q", "id").collect()}
-    assert found[1] > found.get(2, 0) and 3 not in found
+    lengths = vectors.norms(vectors.weights(counts, "id", idf), "id")
+    found = {r.id: r.similarity for r in vectors.similarities("user password check", counts, lengths, "id", idf).collect()}
+    assert found[1] > found.get(2, 0) and not found.keys() & {3, 4}
+    assert vectors.similarities("", counts, lengths, "id", idf).count() == 0
+
+
+def test_ranks_with_any_column_names(spark):
+    rows = spark.createDataFrame([(2, "b", 7), (1, "a", 8)], "at int, part string, offset int")
+    assert [(r.at, r.part, r.offset, r["rank"]) for r in ranked(rows, "at").orderBy("rank").collect()] == [(1, "a", 8, 1), (2, "b", 7, 2)]
 
 
 def test_ranks_of_many_partitions(spark):
@@ -88,7 +112,7 @@ def brute_clusters(hits, options):
         if a[0] == b[0]:
             return True
         spans = a[2] - a[1] + 1, b[2] - b[1] + 1
-        return max(spans) <= options.window + options.slack and max(a[2], b[2]) - min(a[1], b[1]) + 1 <= options.window + max(spans)
+        return a[3] == b[3] and max(spans) <= options.window + options.slack and max(a[2], b[2]) - min(a[1], b[1]) + 1 <= options.window + max(spans)
 
     left, out = set(range(len(hits))), []
     while left:
@@ -103,17 +127,34 @@ def brute_clusters(hits, options):
     return set(out)
 
 
-@pytest.mark.parametrize("seed", range(3))
+HITS = "ranker string, weight double, rank int, confidence double, id string, file_path string, line_start int, line_end int, content string"
+
+
+@pytest.mark.parametrize("seed", range(4))
 def test_clusters(spark, seed):
     rng = random.Random(seed)
-    hits = sorted({(str(rng.randrange(60)), s, s + rng.randrange(24)) for s in (rng.randrange(1, 900) for _ in range(60))})
-    rows = spark.createDataFrame([("v", 1.0, 1, 0.5, i, "f", a, b, "") for i, a, b in hits], "ranker string, weight double, rank int, confidence double, id string, file_path string, line_start int, line_end int, content string")
+    files = "f" if seed < 2 else "fgh"
+    hits = sorted({(str(rng.randrange(60 + 60 * seed)), s, s + rng.randrange(24), rng.choice(files)) for s in (rng.randrange(1, 900) for _ in range(60))})
+    rows = spark.createDataFrame([("v", 1.0, 1, 0.5, i, f, a, b, "") for i, a, b, f in hits], HITS)
     got = {}
     for r in fusion.clustered(rows).collect():
-        got.setdefault(r.cluster, set()).add((r.id, r.line_start, r.line_end))
+        got.setdefault(r.cluster, set()).add((r.id, r.line_start, r.line_end, r.file_path))
     assert set(map(frozenset, got.values())) == brute_clusters(hits, fusion.Fusion())
 
 
+def test_one_id_in_two_files_is_one_candidate(spark):
+    rows = spark.createDataFrame([("vector", 1.0, 1, 0.5, "a", "f", 3, 5, "A"), ("ast", 0.9, 1, 0.4, "a", "g", 90, 95, "B"), ("ast", 0.9, 2, 0.4, "", "g", 300, 400, "C"), ("ast", 0.9, 3, 0.4, "", "g", 300, 400, "C")], HITS)
+    out = fusion.blend(rows).orderBy("position").collect()
+    assert [(r.id, r.file_path, r.line_start, r.line_end) for r in out] == [("a", "f", 3, 95), ("", "g", 300, 400), ("", "g", 300, 400)]
+    assert out[0].score == pytest.approx(1.9 / 61) and out[0].content == "A\nB"
+
+
+def test_a_list_fills_ranks_and_rankers(spark):
+    items = spark.createDataFrame([(0, "", 1), (7, "x", 2), (None, None, 3)], "rank int, ranker string, place int")
+    got = fusion.ranked_list(items, "ast", 2).collect()
+    assert [(r["rank"], r.ranker, r.weight) for r in got] == [(1, "ast", 2.0), (7, "x", 2.0), (3, "ast", 2.0)]
+
+
 def test_blend(spark):
     schema = "ranker string, weight double, rank int, confidence double, id string, file_path string, line_start int, line_end int, content string"
     rows = [
