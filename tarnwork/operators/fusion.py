@@ -18,6 +18,10 @@ from tarnwork.operators.ranking import ranked
 from tarnwork.sources.readers import written
 
 
+#: Windows that a call works on, about.
+LOT = 20_000
+
+
 @dataclass(frozen=True)
 class Fusion:
     k: float = 60.0
@@ -47,18 +51,28 @@ def normalised(hits: DataFrame) -> DataFrame:
 def near_windows(windows: DataFrame, options: Fusion) -> DataFrame:
     """query_id, file_path, line_start, line_end of short windows, and first_start and first_end of the least window they are joined to.
 
-    A file's windows are cut where a gap is too wide to be bridged, so a call gets one run of near
-    windows. Those are distinct and short, so each line of a run has at most window + slack of them.
+    A file's windows are cut into runs where a gap is too wide to be bridged, and whole runs, of any
+    files, are dealt into lots. Windows are distinct and short, so each line of a run has at most
+    window + slack of them; only a run itself must fit in a call.
     """
     by_start = Window.partitionBy("query_id", "file_path").orderBy("line_start", "line_end")
+    so_far = by_start.rowsBetween(Window.unboundedPreceding, 0)
     reach = F.max("line_end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    cut = windows.withColumn("gap", F.when(F.col("line_start") - reach - 1 <= options.window, 0).otherwise(1))
-    cut = cut.withColumn("run", F.sum("gap").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = windows.withColumn("gap", F.when(F.col("line_start") - reach - 1 <= options.window, 0).otherwise(1)).withColumn("at", F.row_number().over(by_start))
+    cut = written(cut.withColumn("run", F.max(F.when(F.col("gap") == 1, F.col("at"))).over(so_far)).drop("gap", "at"), "runs")
+    lots = cut.count() // LOT + 1
+    cut = cut.withColumn("lot", F.pmod(F.xxhash64("query_id", "file_path", F.floor(F.col("run") / LOT)), F.lit(lots)))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["line_start", "line_end"], ignore_index=True)
-        lo, hi = pdf["line_start"].to_numpy(), pdf["line_end"].to_numpy()
+        keys = ["query_id", "file_path", "run"]
+        pdf = pdf.sort_values([*keys, "line_start", "line_end"], ignore_index=True)
+        lo, hi = pdf["line_start"].to_numpy().astype(np.int64), pdf["line_end"].to_numpy().astype(np.int64)
         span, root = hi - lo + 1, list(range(len(pdf)))
+        # On one axis, the runs stand too far apart to meet.
+        new = ~pdf[keys].eq(pdf[keys].shift()).all(axis=1).to_numpy()
+        ends = np.maximum.reduceat(hi, np.flatnonzero(new))
+        shift = (np.cumsum(ends + options.window + 2) - ends)[np.cumsum(new) - 1]
+        lo, hi = lo + shift, hi + shift
 
         def top(i):
             while root[i] != i:
@@ -67,18 +81,18 @@ def near_windows(windows: DataFrame, options: Fusion) -> DataFrame:
             return i
 
         ends = np.searchsorted(lo, hi + options.window + 1, "right")
-        for i, end in enumerate(ends):
-            near = np.arange(i + 1, end)
+        for i in np.flatnonzero(ends > np.arange(1, len(pdf) + 1)):
+            near = np.arange(i + 1, ends[i])
             merged = np.maximum(hi[near], hi[i]) - lo[i] + 1
             for j in near[merged <= options.window + np.maximum(span[near], span[i])]:
                 a, b = sorted((top(i), top(int(j))))
                 root[b] = a
         first = [top(i) for i in range(len(pdf))]
-        return pdf.assign(first_start=lo[first], first_end=hi[first])[["query_id", "file_path", "line_start", "line_end", "first_start", "first_end"]]
+        return pdf.assign(first_start=(lo - shift)[first], first_end=(hi - shift)[first])[["query_id", "file_path", "line_start", "line_end", "first_start", "first_end"]]
 
     kinds = {c: windows.schema[c].dataType.simpleString() for c in ("query_id", "file_path", "line_start", "line_end")}
     schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + f", first_start {kinds['line_start']}, first_end {kinds['line_end']}"
-    return cut.groupBy("query_id", "file_path", "run").applyInPandas(join, schema)
+    return cut.groupBy("lot").applyInPandas(join, schema)
 
 
 def _shared(clusters: DataFrame) -> DataFrame | None:
@@ -106,7 +120,7 @@ def clustered(hits: DataFrame, options: Fusion = Fusion()) -> DataFrame:
     Same ids are one cluster wherever they stand, in other files as well. Else both spans must be short
     and the merged span not longer than the window plus the longer of them.
     """
-    hits = normalised(hits)
+    hits = written(normalised(hits), "hits")
     short = F.col("line_end") - F.col("line_start") + 1 <= options.window + options.slack
     near = near_windows(hits.where(short).select("query_id", "file_path", "line_start", "line_end").distinct(), options)
     hits = hits.join(near, ["query_id", "file_path", "line_start", "line_end"], "left")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tarnwork.functions import text as tx
 from tarnwork.operators import vectors
 from tarnwork.operators.ranking import ranked
-from tarnwork.sources.readers import written
+from tarnwork.sources.readers import spread, written
 
 # Weights of the rankers; confidences of name matches; hits that count as certain.
 VECTOR, SYMBOL, KEYWORD = ("vector", 1.15), ("ast", 1.00), ("regex", 0.85)
@@ -74,7 +74,7 @@ def keyword_hits(candidates: DataFrame, query: str) -> DataFrame:
     """Candidates by the number of keyword hits; confidence is a quarter of it, or the share of the words, up to 1."""
     words = F.regexp_count("source", F.lit(rf"[^{tx.WHITE}]++"))
     # Written: a range sort reads its input twice.
-    scored = written(candidates.select("seq", keyword_count(F.col("source"), query).alias("hits"), words.alias("words")).where("hits > 0"), "keyword-counts")
+    scored = written(spread(candidates.select("seq", "source")).select("seq", keyword_count(F.col("source"), query).alias("hits"), words.alias("words")).where("hits > 0"), "keyword-counts")
     density = F.col("hits") / F.greatest("words", F.lit(1))
     confidence = F.greatest(F.least(F.col("hits") / float(CERTAIN_HITS), F.lit(1.0)), F.least(density, F.lit(1.0)))
     return _hits(candidates, scored.select("seq", "hits", confidence.alias("confidence")), KEYWORD, F.desc("hits"), F.desc("confidence"))

@@ -13,7 +13,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tarnwork.sources.readers import written
+from tarnwork.sources.readers import spread, written
 
 #: Features up to which a table of idf or of a query's weights is sent to every task, about 100 bytes each; beyond, it is joined by a shuffle.
 MOST_SENT = 200_000
@@ -53,7 +53,7 @@ def counted(docs: DataFrame, key: str, text: str) -> DataFrame:
                     yield made(batch.column(0).slice(first, i + 1 - first), ends, names, numbers)
                     first, ends, names, numbers = i + 1, [0], [], []
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, counts array<struct<feature: string, tf: int>>")
+    return spread(docs.select(key, text)).mapInArrow(run, f"{key} {kind}, counts array<struct<feature: string, tf: int>>")
 
 
 def idf_of(counts: DataFrame) -> DataFrame:

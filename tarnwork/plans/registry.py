@@ -14,7 +14,7 @@ from tarnwork.functions import classify, jsonyaml, text as tx
 from tarnwork.operators import code, fusion, graph, logs, rankers, scopes, vectors
 from tarnwork.plans import pipeline
 from tarnwork.plans.retrieval import RetrievalEngine
-from tarnwork.sources.readers import table, written
+from tarnwork.sources.readers import spread, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """doc_id, text and other columns of documents."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more))
+
+
 # DuckDB fragments. RE2's \s is ASCII, and so is the white space in the tables.
 _TRIM = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 _JSONISH = "(({0} LIKE '{{%' AND {0} LIKE '%}}') OR ({0} LIKE '[%' AND {0} LIKE '%]')) AND (contains({0}, ':') OR contains({0}, 'true') OR contains({0}, 'null'))"
@@ -58,7 +63,7 @@ SELECT id, CASE WHEN {_JSONISH.format('b')} THEN 'json' WHEN score >= 3 THEN 'lo
 @query("classify_documents", _kind_sql("documents", "doc_id", "coalesce(text, '')"))
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), classify.payload_kind(text).alias("kind"))
+    return _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), classify.payload_kind(text).alias("kind"))
 
 
 @query("classify_pages", _kind_sql("pages", "page_id", "coalesce(html, '')"))
@@ -76,7 +81,7 @@ _TIDY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[
 
 @query("collapse_blank_lines", f"SELECT doc_id, {_TIDY} AS tidy FROM documents")
 def collapse_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", code.tidy_lines(F.col("text")).alias("tidy"))
+    return _texts(spark, sf_dir).select("doc_id", code.tidy_lines(F.col("text")).alias("tidy"))
 
 
 @query(
@@ -88,7 +93,7 @@ SELECT lang, n, before, after, greatest(before - after, 0) AS saved, CASE WHEN b
 """,
 )
 def savings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir, "lang")
     out = pipeline.savings(docs, tx.byte_length(F.col("text")), tx.byte_length(code.tidy_lines(F.col("text"))), "lang")
     return out.withColumn("saved_pct", F.round("saved_pct", 6))
 
@@ -223,7 +228,7 @@ SELECT doc_id, CASE WHEN r >= p AND r >= j AND r > 0 THEN 'rust' WHEN p >= j AND
 """,
 )
 def language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", classify.language(F.lit(""), F.col("text")).alias("language"))
+    return _texts(spark, sf_dir).select("doc_id", classify.language(F.lit(""), F.col("text")).alias("language"))
 
 
 @query(

@@ -9,10 +9,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Bytes (as the planner estimates them) up to which a table counts as small.
+SMALL = 64 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out over all cores, for work that costs far more than moving it: a file's only row group is one task else. Large ones stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
+
+
 def source_tree(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """file_path and source of every file under a folder, one row per file."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
