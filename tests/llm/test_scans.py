@@ -163,6 +163,40 @@ def test_factor_one_is_exact(spark, monkeypatch, shard):
         assert np.allclose([s for _, s in got[q]], [s for _, s in expected[q]], rtol=1e-12)
 
 
+@pytest.mark.parametrize("factor", [1.0, 4.0])
+def test_ties_go_to_the_least_ids(spark, monkeypatch, factor):
+    """Hundreds of vectors have one inner product with the query, and many more are equal to others."""
+    monkeypatch.setattr(neighbours, "SHARD", 150)
+    monkeypatch.setattr(neighbours, "LEAF", 16)
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(i, [1.0, *rng.integers(-3, 4, 3).astype(float).tolist()]) for i in rng.permutation(np.arange(1, 601)).tolist()]
+    rows += [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(601, 900)] + [(0, [1.0, 0.0, 0.0, 0.0])] * 30 + [(7, rows[3][1])] * 2
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in sorted(neighbours.search(neighbours.index(vectors), vectors.where(F.col("vec_id") % 20 == 0), factor=factor).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    expected = {q: v for q, v in brute_neighbours(rows, neighbours.K).items() if v}
+    if factor == 1:
+        assert got == expected
+    else:
+        assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in v}) / len(v) for q, v in expected.items()]) >= 0.5
+        assert all(v == sorted(v, key=lambda x: (-x[1], x[0])) for v in got.values())
+
+
+def test_queries_in_passes(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(800)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "SHARD", 100)
+    index = neighbours.index(vectors)
+    asked = vectors.where(F.col("vec_id") % 20 == 0)
+    key = lambda r: (r.query_id, r["rank"], r.vec_id)
+    whole = sorted(map(key, neighbours.search(index, asked, factor=1.0).collect()))
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(neighbours, "GROUP", 4)
+    assert sorted(map(key, neighbours.search(index, asked, factor=1.0).collect())) == whole
+
+
 def test_recall_with_the_default_factor(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in v / np.linalg.norm(v)]) for i, v in enumerate(rng.normal(size=(1500, 64)))]
