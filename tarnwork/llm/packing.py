@@ -3,12 +3,14 @@
 A document is its token ids and the end id 1. Runs of ``WINDOW`` ids from its start fill windows of
 their own; the rest is cut into pieces of at most ``PIECE`` ids. Pieces are dealt by a hash of their
 row into blocks of about ``BLOCK_WINDOWS`` windows. In a block, differencing starts from partial
-partitions with one piece each, and again and again merges the two with the greatest imbalance so
+partitions with one piece each (pieces below ``BUNDLE`` ids are first joined with their neighbours), and again and again merges the two with the greatest imbalance so
 that the fullest windows of one meet the emptiest of the other, until one near-equal partition is
 left. If its fullest window exceeds the capacity, the block takes one more window and starts anew.
 
 Null and blank texts are the end id alone. Repeated rows and repeated doc_ids are packed each. Other
 columns don't matter; an empty table gives an empty result. Very long texts are cut like all others.
+A call holds the rows of one block, WINDOW * BLOCK_WINDOWS one-id pieces at most on average, and
+differencing at most WINDOW * BLOCK_WINDOWS / BUNDLE partitions of BLOCK_WINDOWS numbers.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from tarnwork.llm import common
 WINDOW = 2048
 PIECE = 512
 BLOCK_WINDOWS = 256
+#: Pieces shorter than this are joined to bundles of less than twice as much before differencing.
+BUNDLE = 64
 END = 1
 #: Most words whose ids a worker remembers, twice: of the current generation and the one before. Between tasks it keeps the words met first, mostly frequent ones.
 REMEMBERED = 300_000
@@ -202,9 +206,21 @@ def packed(sizes: np.ndarray, capacity: int = WINDOW) -> np.ndarray:
         k += 1
 
 
+def bundled(sizes: np.ndarray) -> np.ndarray:
+    """The number of each size's bundle: sizes below ``BUNDLE`` are joined, in order, with those around them; others are alone."""
+    small = sizes < BUNDLE
+    before = np.cumsum(np.where(small, sizes, 0)) - np.where(small, sizes, 0)
+    # Small sizes by the stretch of BUNDLE ids that they begin in, large ones by their place.
+    key = np.where(small, before // BUNDLE, len(sizes) + np.arange(len(sizes)) + before[-1:].sum())
+    return np.unique(key, return_inverse=True)[1].ravel()
+
+
 def pack_block(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("uid", ignore_index=True)
-    part = packed(pdf["length"].to_numpy())
+    # A block of very short texts has up to WINDOW * BLOCK_WINDOWS pieces, but few bundles.
+    sizes = pdf["length"].to_numpy()
+    of = bundled(sizes)
+    part = packed(np.bincount(of, sizes).astype(np.int64))[of]
     pdf["sequence_id"] = 2 * (pdf["block"] * (1 << 30) + part)
     offset = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
     return pdf.assign(offset=offset)[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]

@@ -1,11 +1,14 @@
 """Packing: the ids are the tokenizer's, every id is in one piece, windows are full."""
 
+import tracemalloc
 import zlib
 from array import array
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tarnwork.llm import packing
 
@@ -71,5 +74,31 @@ def test_small_blocks(sizes):
     assert len(part) == len(sizes) and np.bincount(part, sizes).max(initial=0) <= packing.WINDOW
 
 
+def test_a_block_of_empty_texts():
+    """The most pieces that a block can hold: one id each."""
+    n = packing.WINDOW * packing.BLOCK_WINDOWS
+    rows = pd.DataFrame({"doc_id": range(n), "start": 0, "length": 1, "ids_crc32": 0, "doc_tokens": 1, "uid": range(n), "block": 0})
+    tracemalloc.start()
+    out = packing.pack_block(rows)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    fill = out.groupby("sequence_id")["length"].sum()
+    assert fill.max() <= packing.WINDOW and len(fill) <= packing.BLOCK_WINDOWS + 2
+
+
+def test_bundles_hold_neighbours():
+    sizes = np.array([3, 500, 60, 1, 1, 64, 63, 63, 2])
+    of = packing.bundled(sizes)
+    assert len(of) == len(sizes) and all((of == of[i]).sum() == 1 for i in (1, 5))
+    sums = np.bincount(of, sizes)
+    assert all(s < 2 * packing.BUNDLE for b, s in enumerate(sums) if (of == b).sum() > 1)
+
+
+def test_many_null_texts(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    got = packing.pack(docs).toPandas()
+    assert len(got) == 20_000 and got.groupby("sequence_id")["length"].sum().max() <= packing.WINDOW and got["sequence_id"].nunique() <= 11
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
