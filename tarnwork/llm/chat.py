@@ -12,30 +12,37 @@ role has to be relabelled. Null texts count as empty. Turns go by their number,
 and text; repeated rows are turns each. A null conv_id is a conversation like others. Other columns
 don't matter; an empty table gives an empty result.
 
-A conversation is worked on in segments of ``SEGMENT`` turn numbers: each gives its least cost from
-every state to every state, those are chained per conversation, and each segment is then rendered on
-its own, so that a very long conversation isn't one task. Its result has a row per segment; the
-rendered pieces join without anything between them.
+All turns are range-sorted by conversation and that order, repeated rows by a number of their own, so
+no conversation, turn number or repeated row has to fit in a task. The sorted stream is cut into
+segments: where the conversation or the task's share changes, and after ``SEGMENT`` turns or ``BYTES``
+of text. Each segment gives its least cost from every state to every state, those are chained per
+conversation (four numbers per segment), and each segment is rendered on its own. The result has a row per
+segment; the rendered pieces join, by segment, without anything between them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tarnwork.llm import common
 
 RELABEL, MERGE, INSERT = 2, 1, 3
 SEGMENT = 4096
-#: Turns that a call works on, about.
-LOT = 5000
+BYTES = 4 << 20
+#: Turns and bytes of text that a call works on, about.
+LOT, LOT_BYTES = 10_000, 16 << 20
 ROLES = ("system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: States: 0 before any turn, else 1 + the number of the current turn's role; and the roles that may follow.
 NEXT = {0: (0, 1), 1: (1,), 2: (2,), 3: (1,)}
 FINAL = 3
+#: Bits of a segment's number within its task.
+_BITS = 33
 
 
 def _insertions() -> dict[tuple[int, int], tuple[int, ...]]:
@@ -67,7 +74,9 @@ def _steps():
 
 
 STEPS = _steps()
-_costs = np.array([[[x[0] if x else np.inf for x in row] for row in rows] for rows in STEPS])
+_INF = float("inf")
+#: For each role and state after, the states before with what the step costs.
+_into = [[[(a, STEPS[r][a][b][0]) for a in range(4) if STEPS[r][a][b]] for b in range(4)] for r in range(4)]
 
 
 def role_number(role) -> int:
@@ -76,15 +85,14 @@ def role_number(role) -> int:
     return ROLES.index(name) if name in ROLES else 3
 
 
-def forward(roles: list[int], start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least cost to each state after all turns, and for each turn the state before on the way to each state."""
-    cost = np.full(4, np.inf)
+def forward(roles: list[int], start: int) -> tuple[list[float], list[list[int]]]:
+    """Least cost to each state after all turns, and for each turn the state before on the way to each state; of equal ones the first."""
+    cost, back = [_INF] * 4, []
     cost[start] = 0
-    back = np.zeros((len(roles), 4), np.int64)
-    for i, r in enumerate(roles):
-        through = cost[:, None] + _costs[r]
-        back[i] = through.argmin(0)
-        cost = through.min(0)
+    for r in roles:
+        ways = [min(((cost[a] + c, a) for a, c in into), default=(_INF, 0)) for into in _into[r]]
+        cost = [c for c, _ in ways]
+        back.append([a for _, a in ways])
     return cost, back
 
 
@@ -92,10 +100,9 @@ def way(roles: list[int], start: int, end: int) -> list[tuple]:
     """The action for each turn from state ``start`` to state ``end``."""
     _, back = forward(roles, start)
     out = []
-    for i in range(len(roles) - 1, -1, -1):
-        before = int(back[i][end])
-        out.append(STEPS[roles[i]][before][end][1])
-        end = before
+    for r, before in zip(reversed(roles), reversed(back)):
+        out.append(STEPS[r][before[end]][end][1])
+        end = before[end]
     return out[::-1]
 
 
@@ -133,73 +140,95 @@ def render(roles: list[int], texts: list[str], start: int, end: int, last: bool)
     return "".join(out), "; ".join(names), opened, cost
 
 
-def _columns(pdf: pd.DataFrame) -> tuple[list[int], list[str]]:
-    return [role_number(r) for r in pdf["role"]], [t if isinstance(t, str) else "" for t in pdf["text"]]
+def segmented(turns: DataFrame) -> DataFrame:
+    """conv, segment, place, role (a number) and text of all turns, and at each segment's last turn its costs. Written to the shared folder."""
+    # As text: Arrow and pandas would turn numbers beside nulls into floats.
+    rows = turns.select(F.col("conv_id").cast("string").alias("conv"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    rows = rows.orderBy("conv", F.col("turn").isNull(), "turn", "role", "text", "uid").select("conv", "role", "text")
 
+    def cut(batches):
+        segment, conv, roles, size, place = TaskContext.get().partitionId() << _BITS, None, [], 0, 0
+        held = None  # the last row, whose costs depend on whether the segment goes on
 
-def _apart(pdf: pd.DataFrame, keys: list[str], order: list[str]):
-    """The rows of each key (nulls are a key) in an order, as frames. All are sorted at once: small sorts cost more than their work."""
-    pdf = pdf.sort_values([*keys, *order], na_position="last", ignore_index=True)
-    before = pdf[keys].shift()
-    same = ((pdf[keys] == before) | (pdf[keys].isna() & before.isna())).all(axis=1)
-    same.iloc[:1] = False
-    starts = np.flatnonzero(~same.to_numpy())
-    for start, end in zip(starts, [*starts[1:], len(pdf)]):
-        yield pdf.iloc[start:end]
+        def costs():
+            return [x for s in range(4) for x in forward(roles, s)[0]]
 
+        for batch in batches:
+            out = [] if held is None else [held]
+            for i, (own, role) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                text = batch.column(2)[i].as_py()
+                if held is not None and (own != conv or len(roles) >= SEGMENT or size >= BYTES):
+                    out[-1][5] = costs()
+                    segment, roles, size, place = segment + 1, [], 0, 0
+                conv, size, place = own, size + len(text), place + 1
+                roles.append(role_number(role))
+                held = [own, segment, place, roles[-1], text, None]
+                out.append(held)
+            if len(out) > 1:
+                yield rows_of(out[:-1])
+        if held is not None:
+            held[5] = costs()
+            yield rows_of([held])
+
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64()))
+
+    def rows_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], ["conv", "segment", "place", "role", "text", "costs"])
+
+    return common.written(rows.mapInArrow(cut, "conv string, segment long, place int, role int, text string, costs array<double>"), "turns")
 
-def formatted(turns: DataFrame) -> DataFrame:
-    """conv_id, segment, n_turns, n_out, cost, actions and rendered."""
-    id_type = turns.schema["conv_id"].dataType.simpleString()
-    segment = F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit((1 << 62) // SEGMENT)).cast("long")
-    # As text: pandas would turn numbers beside nulls into floats.
-    rows = turns.select(F.col("conv_id").cast("string").alias("conv_id"), "turn", "role", "text").withColumn("segment", segment)
-    # Many segments share a task's call: a call for each costs more than the work in it.
-    lots = max(1, rows.count() // LOT)
-    rows = rows.withColumn("lot", F.pmod(F.xxhash64("conv_id", "segment"), F.lit(lots)))
-
-    def costs(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for own in _apart(pdf, ["conv_id", "segment"], ["turn", "role", "text"]):
-            roles, _ = _columns(own)
-            out.append((own["conv_id"].iloc[0], own["segment"].iloc[0], own["lot"].iloc[0], np.concatenate([forward(roles, s)[0] for s in range(4)]).tolist()))
-        return pd.DataFrame(out, columns=["conv_id", "segment", "lot", "costs"])
+
+def chained(found: DataFrame, lots: int) -> DataFrame:
+    """segment, begin, end and last from conv, segment and costs: the states that the cheapest way passes between segments."""
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("segment", ignore_index=True)
+        by_conv: dict = {}
+        for conv, segment, costs in zip(pdf["conv"], pdf["segment"], pdf["costs"]):
+            by_conv.setdefault(conv if isinstance(conv, str) else None, []).append((segment, costs))
         out = []
-        for own in _apart(pdf, ["conv_id"], ["segment"]):
-            cost, back = np.array([0, np.inf, np.inf, np.inf]), []
-            for flat in own["costs"]:
-                through = cost[:, None] + np.array(flat).reshape(4, 4)
-                back.append(through.argmin(0))
-                cost = through.min(0)
-            state = int(np.argmin([c + closing(s) if s else np.inf for s, c in enumerate(cost)]))
-            begin, end = [], []
-            for before in reversed(back):
-                end.append(state)
-                state = int(before[state])
-                begin.append(state)
-            last = [i == len(own) - 1 for i in range(len(own))]
-            out.append(own.assign(begin=begin[::-1], end=end[::-1], last=last))
-        return pd.concat(out)[["conv_id", "segment", "lot", "begin", "end", "last"]]
-
-    def write(pdf: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
-        ways = {(None if pd.isna(i) else i, s): (b, e, z) for i, s, b, e, z in zip(*(plan[c] for c in ("conv_id", "segment", "begin", "end", "last")))}
+        for segments in by_conv.values():
+            cost, back = [0, _INF, _INF, _INF], []
+            for _, flat in segments:
+                ways = [min((cost[a] + flat[4 * a + b], a) for a in range(4)) for b in range(4)]
+                cost = [c for c, _ in ways]
+                back.append([a for _, a in ways])
+            state = min(range(1, 4), key=lambda s: (cost[s] + closing(s), s))
+            for i in range(len(segments) - 1, -1, -1):
+                out.append((segments[i][0], back[i][state], state, i == len(segments) - 1))
+                state = back[i][state]
+        return pd.DataFrame(out, columns=["segment", "begin", "end", "last"])
+
+    lot = F.pmod(F.xxhash64("conv"), F.lit(lots)).alias("lot")
+    plans = found.select("conv", "segment", "costs", lot).groupBy("lot").applyInPandas(chain, "segment long, begin int, end int, last boolean")
+    return common.written(plans, "chat-plans")
+
+
+def formatted(turns: DataFrame) -> DataFrame:
+    """conv_id, segment, n_turns, n_out, cost, actions and rendered."""
+    id_type = turns.schema["conv_id"].dataType.simpleString()
+    rows = segmented(turns)
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # Many segments share a call: a call for each costs more than the work in it.
+    lots = 1 + max(n // LOT, size // LOT_BYTES)
+    plans = chained(rows.where("costs IS NOT NULL").select("conv", "segment", "costs"), 1 + n // LOT)
+
+    def write(own: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["segment", "place"], ignore_index=True)
+        ways = {s: (b, e, z) for s, b, e, z in zip(plan["segment"], plan["begin"], plan["end"], plan["last"])}
+        segments, roles, texts, convs = own["segment"].to_numpy(), own["role"].tolist(), own["text"].tolist(), own["conv"].tolist()
+        starts = np.flatnonzero(np.append(True, segments[1:] != segments[:-1])) if len(own) else []
         out = []
-        for own in _apart(pdf, ["conv_id", "segment"], ["turn", "role", "text"]):
-            conv, number = own["conv_id"].iloc[0], own["segment"].iloc[0]
-            roles, texts = _columns(own)
-            begin, end, last = ways[None if pd.isna(conv) else conv, number]
-            text, actions, opened, cost = render(roles, texts, int(begin), int(end), bool(last))
-            out.append((conv, number, len(roles), opened, cost, actions, text))
+        for a, b in zip(starts, [*starts[1:], len(own)]):
+            begin, end, last = ways[segments[a]]
+            text, actions, opened, cost = render(roles[a:b], texts[a:b], int(begin), int(end), bool(last))
+            out.append((convs[a], segments[a], b - a, opened, cost, actions, text))
         return pd.DataFrame(out, columns=["conv_id", "segment", "n_turns", "n_out", "cost", "actions", "rendered"])
 
-    found = rows.groupBy("lot").applyInPandas(costs, "conv_id string, segment long, lot long, costs array<double>")
-    found = found.withColumn("of_conv", F.pmod(F.xxhash64("conv_id"), F.lit(lots)))
-    plans = found.groupBy("of_conv").applyInPandas(chain, "conv_id string, segment long, lot long, begin int, end int, last boolean")
-    plans = common.written(plans, "chat-plans")
+    lot = F.pmod(F.xxhash64("segment"), F.lit(lots)).alias("lot")
+    texts = rows.select("conv", "segment", "place", "role", "text", lot).groupBy("lot")
     schema = "conv_id string, segment long, n_turns long, n_out long, cost long, actions string, rendered string"
-    out = rows.groupBy("lot").cogroup(plans.groupBy("lot")).applyInPandas(write, schema)
+    out = texts.cogroup(plans.select("*", lot).groupBy("lot")).applyInPandas(write, schema)
     return out.withColumn("conv_id", F.col("conv_id").cast(id_type))
 
 

@@ -76,6 +76,27 @@ def test_query(spark, monkeypatch, segment):
     assert got[1][0] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"
 
 
+def test_no_turn_number_and_no_order_is_one_task(spark, monkeypatch):
+    """A conversation of null and equal turn numbers and repeated rows is cut like any other."""
+    monkeypatch.setattr(chat, "SEGMENT", 50)
+    monkeypatch.setattr(chat, "BYTES", 400)
+    rows = [(7, None, "user", f"n{i:04}") for i in range(300)] + [(7, 3, "assistant", "same")] * 300 + [(8, 0, "user", "long " * 200), (8, 1, "assistant", "b")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = sorted(chat.formatted(turns).collect(), key=lambda r: r.segment)
+    own = [r for r in got if r.conv_id == 7]
+    assert max(r.n_turns for r in got) <= 50 and sum(r.n_turns for r in own) == 600 and len(own) >= 12
+    assert sum(r.cost for r in own) == least([2] * 300 + [1] * 300)
+    text = parse("".join(r.rendered for r in own))
+    assert legal([role for role, _ in text])
+    assert [p for _, body in text for p in body.split("\n") if p] == ["same"] * 300 + [f"n{i:04}" for i in range(300)]
+
+
+def test_extra_columns_and_text_ids(spark):
+    turns = spark.createDataFrame([("a", 0, "user", "x", 1, 2, "y"), ("a", 1, "bot", None, 1, 2, "y")], "conv_id string, turn int, role string, text string, conv int, uid int, costs string")
+    (row,) = chat.formatted(turns).collect()
+    assert (row.conv_id, row.cost, row.rendered) == ("a", 0, "<|im_start|>user\nx<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n")
+
+
 def test_empty_table(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.formatted(turns).count() == 0
