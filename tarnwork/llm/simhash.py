@@ -96,10 +96,11 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Null doc_ids order last, and rows with one doc_id by their place in the input.
     """
-    numbered = common.with_row(docs)
-    ids = numbered.select(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "_row").alias("doc_id"), "text")
-    keep = grouped(ids).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id._row").alias("_row"))
-    return numbered.join(keep, "_row", "left_semi").drop("_row")
+    numbered = common.numbered(docs)
+    doc_id = F.col("row.doc_id")
+    ids = numbered.select(F.struct(doc_id.isNull().alias("nil"), doc_id.alias("id"), "number").alias("doc_id"), F.col("row.text").alias("text"))
+    keep = grouped(ids).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.number").alias("number"))
+    return numbered.join(keep, "number", "left_semi").select("row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

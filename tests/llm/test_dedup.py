@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tarnwork.llm import exact_dedup, simhash
+from tarnwork.llm import exact_dedup, mixing, near, simhash
 from tarnwork.llm.components import components
 
 SCHEMA = "doc_id long, text string, kept string, digest int, fp string"
@@ -17,6 +17,10 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], SCHEMA).repartition(3)
 
 
+def mixing_all(docs):
+    return mixing.mix(docs.withColumn("source", F.lit("s"))).drop("source")
+
+
 ROWS = [
     (5, "a b\tc"), (2, "abc"), (9, " a  b c "), (3, None), (4, ""), (6, " \n"), (7, "zz"), (7, "zz"), (None, "q"), (8, "q "), (None, "only"), (10, "Ünï\x0bcode"), (11, "Ünïcode"), (12, "x" * 300_000), (13, "x" * 300_000 + " "), (14, "a bc"),
 ]
@@ -63,7 +67,9 @@ def test_index_of_batches(spark):
     assert {r.doc_id for r in index.find(" ab").collect()} == {1} and index.find("zz").count() == 0
     batch = frame(spark, [(10, "ab"), (11, "new"), (12, " "), (13, "abc")])
     assert {(r.doc_id, r.keep_id) for r in index.hits(batch).collect()} == {(10, 1), (12, 3), (13, 4)}
+    assert index.twice().count() == 0
     index.add(frame(spark, [(0, "c")]))
+    assert index.twice().count() == 1
     assert {r.doc_id: r.group_size for r in index.compact().collect()} == {1: 1, 0: 2, 3: 1, 4: 1}
 
 
@@ -73,6 +79,18 @@ def test_drop_copies(spark):
     assert sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(map(str, [9, 6, 7, 8, None, 10, 13, 14]))
 
 
+CLASHES = "doc_id long, text string, _row int, number int, row string, digest string, filter int, `a.b` int"
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, simhash.drop_near_copies, near.drop_near_copies, mixing_all])
+def test_no_column_is_lost(spark, drop):
+    rows = [(i, t, i, 5, "r", "d", 3, 4) for i, t in [(1, "one two three"), (2, "four five six seven"), (2, "four five six seven"), (None, None)]]
+    docs = spark.createDataFrame(rows, CLASHES)
+    out = drop(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} <= set(rows) and out.count() >= 2
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.exact_groups(none).count() == 0 and simhash.grouped(none).count() == 0

@@ -13,9 +13,10 @@ def brute_links(rows):
     return [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
 
 
-def test_near_copies_go_and_others_stay(spark):
-    rows = [r for r in near_rows() if r[0] is not None]
+def brute_kept(rows):
+    """Of each group, by links of three bits or of five-word similarity, the place of the row with the least doc_id, null last."""
     parent = list(range(len(rows)))
+    rank = lambda i: (rows[i][0] is None, rows[i][0] or 0, i)
 
     def top(i):
         while parent[i] != i:
@@ -24,9 +25,14 @@ def test_near_copies_go_and_others_stay(spark):
 
     close = [(i, j) for i in range(len(rows)) for j in range(i) if (simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).bit_count() <= 3]
     for i, j in close + brute_links(rows):
-        a, b = sorted((top(i), top(j)), key=lambda x: rows[x][0])
+        a, b = sorted((top(i), top(j)), key=rank)
         parent[b] = a
-    want = {min(rows[j][0] for j in range(len(rows)) if top(j) == top(i)) for i in range(len(rows))}
+    return sorted({top(i) for i in range(len(rows))})
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rows = [r for r in near_rows() if r[0] is not None]
+    want = [rows[i][0] for i in brute_kept(rows)]
     kept = corpus_pipeline.unlike(spark, frame(spark, rows), None)
     assert kept.columns == ["doc_id", "text", "kept", "digest", "fp"]
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
@@ -39,7 +45,7 @@ def test_candidates_are_verified(spark):
     half = base[:130] + [f"x{i}" for i in range(70)]
     assert near.similarity(" ".join(base), " ".join(half)) < 0.8
     pairs = spark.createDataFrame([(1, 2, 7, 8), (1, 3, 7, 9)], "a long, b long, u long, v long")
-    rows = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(half)), (3, " ".join(base[:195]))], "_row long, text string")
+    rows = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(half)), (3, " ".join(base[:195]))], "number long, text string")
     assert [(r.u, r.v) for r in near.verified(pairs, rows).collect()] == [(7, 9)]
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from tarnwork.llm import mixing, packing, toxicity
-from tests.llm.test_dedup import brute_components, near_rows, squeeze
+from tests.llm.test_dedup import near_rows, squeeze
 from tests.llm.test_mixing import count, plain_targets
+from tests.llm.test_near import brute_kept
 from tests.llm.test_scans import toxic_table
 
 
@@ -39,8 +40,8 @@ def test_stages(spark, tables, tmp_path):
         rank = (-len(r[1] or ""), r[0] is None, r[0] or 0)
         best[squeeze(r[1])] = min(best.get(squeeze(r[1]), (rank, r)), (rank, r), key=lambda x: x[0])
     assert sorted(str(r[0]) for r in rows[2]) == sorted(str(r[0]) for _, r in best.values())
-    groups = brute_components([r[:2] for r in rows[2]])
-    assert {str(r[0]) for r in rows[3]} == {c if c != "None" else d for d, _, c in groups}
+    # The stage links texts of five-word similarity besides those of near fingerprints.
+    assert sorted(str(r[0]) for r in rows[3]) == sorted(str(rows[2][i][0]) for i in brute_kept([r[:2] for r in rows[2]]))
     sizes, target = plain_targets(rows[3])
     for s in sizes:
         own = sum(count(r[1]) for r in rows[4] if r[2] == s)
