@@ -1,17 +1,24 @@
 """Main text of web pages by site template removal.
 
-A page is read tag by tag. Every container element's subtree is hashed, and Spark counts in how many
-pages of its host each hash occurs. A subtree that recurs in ``PAGES`` of the host's pages is
-template and is deleted if it holds no running text; else it must recur in ``SHARE`` of them, too.
-Whatever lies in an article or main part, or holds a paragraph, a heading or more than ``SHORT``
-characters between tags, counts as running text. Running text (paragraphs, headings, list
-items) isn't hashed on its own: articles quote each other and are copied within a site more often
-than many sites repeat one menu, and those copies are content.
-
-Counts alone miss templates that differ from page to page, so menus, headers, footers, sidebars,
-notices, adverts, forms, scripts and reader comments are also told by element name and by class, id
-and role. If a page has a main part, only its text is taken, or that of the articles if they hold
-at least half of the text of both, or of the page if it has no main part.
+A page is read tag by tag, and every container element's subtree is hashed in a normal form, so that a
+changed link, id, number or "active" class doesn't hide a template. Spark counts in how many pages of
+its host each hash occurs, and subtrees that recur are deleted from the host's pages. There are three
+kinds, by what a subtree holds:
+
+* running text: whatever lies in an article or main part, or holds a paragraph, a heading or more than
+  ``SHORT`` characters between tags. The hash is over tags, class words and text, and must recur in
+  ``PAGES`` pages and in ``SHARE`` of the host's: articles quote each other and are copied within a
+  site more often than many sites repeat one notice, and those copies are content.
+* links, for half of its characters at least: the hash is over tags, class words and where links and
+  other text stand, without repeats, and must recur in ``PAGES`` pages and in ``SHARE`` of the host's.
+  Two menus with other links are one template. A page that is left empty without them keeps them.
+* anything else (notices, adverts, footers, single links of a list): the hash is over tags, class words and text, and must recur in ``PAGES`` pages.
+
+Counts alone miss templates of hosts with few pages, so menus, headers, footers, sidebars, notices,
+adverts, forms, scripts and reader comments are also told by element name and by class, id and role. A
+form, or a subtree marked by such a class, stays if the page has no paragraph besides. If a page has a main
+part, only its text is taken, or that of the articles if they hold at least half of the text of both, or
+of the page if it has no main part.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and
 joined in page order by one space. Null and empty pages, and pages without text, give the empty
@@ -40,9 +47,11 @@ SALTS = 64
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg iframe object textarea math canvas audio video title".split())
-DROPPED = frozenset("nav footer aside form button select dialog menu head datalist fieldset".split())
+#: Reasons to drop a subtree: a form or a mark that may stand around a whole page, or one that never does.
+SOFT, HARD = 1, 2
+DROPPED = frozenset("nav footer aside button select dialog menu head datalist fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp nobr".split())
-HASHED = frozenset("div section ul ol dl table nav footer header aside form article main figure details".split())
+HASHED = frozenset("div section ul ol li dl table tr nav footer header aside form article main figure details".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | {"p", "pre", "blockquote", "article", "main"}
 #: Words in class, id and role that mark what isn't the article.
@@ -52,8 +61,15 @@ MARKS = frozenset(
     "share sharing social comment comments commentlist disqus respond reply replies discussion related recommended recommendations widget widgets pagination pager "
     "toolbar skip search searchbox copyright complementary contentinfo hidden".split()
 )
+#: Marks that hold even where a page has no other paragraph.
+FIRM = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr comment comments commentlist disqus respond reply replies discussion hidden".split())
+#: Class words that tell a state or a place in a list.
+STATES = frozenset("active current selected open closed first last odd even here on off".split())
+#: Kinds of subtrees, in the lowest two bits of their hashes.
+LINKS, RUNNING, OTHER = 0, 1, 2
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*+>", re.S)
 _attribute = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_digits = re.compile("[0-9]+")
 _quoted = re.compile(r"\"[^\"]*\"|'[^']*'")
 _hidden = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
 _undisplayed = re.compile(r"""\bstyle\s*=\s*(?:"[^"]*display\s*:\s*none|'[^']*display\s*:\s*none|display:none)""", re.I)
@@ -67,104 +83,179 @@ def _unseen(attributes: str) -> bool:
     return bool(_hidden.search(_quoted.sub("''", attributes)) or _undisplayed.search(attributes))
 
 
-def _marked(attributes: str) -> bool:
-    if not attributes.strip():
-        return False
+def _mark(attributes: str) -> int:
+    """0: none, SOFT or HARD."""
+    found = 0
     for _, value in _attribute.findall(attributes):
         for name in value.strip("\"'").lower().split():
-            if name in MARKS or _compound.fullmatch(name):
-                return True
-    return _unseen(attributes)
+            if name in FIRM:
+                return HARD
+            if name in MARKS:
+                found = SOFT
+            elif _compound.fullmatch(name):
+                found = HARD if FIRM.intersection(re.split("[-_]", name)) else SOFT
+                if found == HARD:
+                    return HARD
+    return HARD if _unseen(attributes) else found
+
+
+def _classes(attributes: str) -> str:
+    """The class words of an element in order, without states and digits."""
+    words = [w for kind, value in _attribute.findall(attributes) if kind.lower() == "class" for w in value.strip("\"'").lower().split()]
+    return " ".join(sorted({_digits.sub("", w) for w in words} - STATES))
 
 
 def _signed(digest: int) -> int:
     return digest - (1 << 64) if digest >= 1 << 63 else digest
 
 
-def parsed(page: str | None, templates=frozenset()) -> tuple[str, set[int]]:
-    """The main text of a page without the subtrees whose hashes are ``templates``; and all hashes of its containers."""
-    page = page or ""
-    blocks: list[tuple[int, str]] = []  # the rank of the enclosing root (2: article, 1: main, 0: none) and the text
-    current: list[str] = []
-    stack: list[tuple[str, bool, int, int, int, int]] = []  # name, dropped, root rank, first block, where it starts, running texts before
-    hashes: set[int] = set()
-    dropped, root, at, end, running = False, 0, 0, len(page), 0
-
-    def flush():
-        if current:
-            if text := " ".join("".join(current).split()):
-                blocks.append((root, text))
-            current.clear()
-
-    def close(position: int):
-        nonlocal dropped, root
-        name, _, rank, first, start, before = stack.pop()
-        if name in HASHED:
-            # The lowest bit tells whether there is running text.
-            digest = _signed(xxhash.xxh64_intdigest(page[start:position]) & ~1 | (rank > 0 or running > before))
-            hashes.add(digest)
-            if digest in templates:
-                del blocks[first:]
-        dropped, root = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-
-    while at < end:
-        match = _token.search(page, at)
-        stop = match.start() if match else end
-        if stop > at:
-            running += stop - at > SHORT and len(page[at:stop].strip()) > SHORT
-            if not dropped:
+class _Open:
+    """An element whose end hasn't come yet."""
+
+    __slots__ = ("before", "chars", "dropped", "exact", "first", "links", "name", "rank", "shape", "tag")
+
+    def __init__(self, name: str, tag: str, dropped: int, rank: int, first: int, before: int):
+        self.name, self.tag, self.dropped, self.rank, self.first, self.before = name, tag, dropped, rank, first, before
+        self.shape, self.exact, self.links, self.chars = [], [], 0, 0
+
+    def text(self, text: str, linked: bool) -> None:
+        self.exact.append(_digits.sub("0", text.lower()))
+        if (token := "L" if linked else "T") != self.shape[-1:]:
+            self.shape.append(token)
+        self.chars += len(text)
+        self.links += len(text) * linked
+
+    def digests(self) -> tuple[int, int]:
+        return tuple(xxhash.xxh64_intdigest("\n".join([self.tag, *x])) for x in (self.shape, self.exact))
+
+
+class Page:
+    """What one reading of a page gives: text, hashes of its containers, deleted subtrees, and whether paragraphs were kept or dropped for a soft reason."""
+
+    def __init__(self, page: str | None, templates=frozenset(), lenient: bool = False, names: bool = True):
+        self.hashes: set[int] = set()
+        self.deleted = self.kept_prose = self.soft_prose = 0
+        self.text = self._read(page or "", templates, lenient, names)
+
+    def _read(self, page: str, templates, lenient: bool, names: bool) -> str:
+        blocks: list[tuple[int, str]] = []  # the rank of the enclosing root (2: article, 1: main, 0: none) and the text
+        current: list[str] = []
+        top = _Open("", "", 0, 0, 0, 0)
+        stack = [top]
+        at, end, running, linked = 0, len(page), 0, False
+
+        def flush():
+            if current:
+                if text := " ".join("".join(current).split()):
+                    blocks.append((top.rank, text))
+                current.clear()
+
+        def close():
+            nonlocal top, linked
+            own = stack.pop()
+            top, linked = stack[-1], False
+            if not own.chars:
+                return
+            shape, exact = own.digests()
+            if own.name in HASHED:
+                kind = RUNNING if own.rank or running > own.before else LINKS if 2 * own.links >= own.chars else OTHER
+                digest = _signed((shape if kind == LINKS else exact) & ~3 | kind)
+                self.hashes.add(digest)
+                if digest in templates:
+                    self.deleted += 1
+                    del blocks[own.first :]
+            if (token := f"{shape:x}") != (top.shape[-1] if top.shape else ""):
+                top.shape.append(token)
+            top.exact.append(f"{exact:x}")
+            top.chars += own.chars
+            top.links += own.links
+
+        def opened(name: str, attributes: str, dropped: int, rank: int):
+            nonlocal top
+            top = _Open(name, f"{name} {_classes(attributes)}" if attributes else name, dropped, rank, len(blocks), running)
+            stack.append(top)
+
+        while at < end:
+            match = _token.search(page, at)
+            stop = match.start() if match else end
+            if stop > at and (text := page[at:stop].strip()):
+                running += len(text) > SHORT
+                top.text(text, linked)
+            if stop > at and not top.dropped:
                 current.append(html.unescape(page[at:stop]))
-        if not match:
-            break
-        at = match.end()
-        name = match[2]
-        if name is None:
-            continue
-        name = name.lower()
-        if match[1]:
-            if name not in INLINE or any(x[0] == name for x in stack[-4:]):
-                if name not in INLINE:
-                    flush()
-                if any(x[0] == name for x in reversed(stack)):
-                    while stack[-1][0] != name:
-                        close(match.start())
-                    close(at)
-            continue
-        attributes = match[3]
-        if name in RAW:
-            if not attributes.endswith("/"):
-                closing = re.compile(f"</{name}", re.I).search(page, at)
-                at = page.find(">", closing.start()) + 1 or end if closing else end
-            continue
-        if name in INLINE:
-            if not dropped and attributes and _marked(attributes):
-                stack.append((name, True, root, len(blocks), match.start(), running))
-                dropped = True
-            continue
+            if not match:
+                break
+            at = match.end()
+            name = match[2]
+            if name is None:
+                continue
+            name = name.lower()
+            if match[1]:
+                if name == "a":
+                    linked = False
+                if name not in INLINE or any(x.name == name for x in stack[-4:]):
+                    if name not in INLINE:
+                        flush()
+                    if any(x.name == name for x in reversed(stack)):
+                        while top.name != name:
+                            close()
+                        close()
+                continue
+            attributes = match[3].strip()
+            if name in RAW:
+                if not attributes.endswith("/"):
+                    closing = re.compile(f"</{name}", re.I).search(page, at)
+                    at = page.find(">", closing.start()) + 1 or end if closing else end
+                continue
+            if name in INLINE:
+                linked = linked or name == "a"
+                if names and not top.dropped and attributes and (mark := _mark(attributes)) and not (lenient and mark == SOFT):
+                    opened(name, attributes, mark, top.rank)
+                continue
+            flush()
+            if name in VOID:
+                continue
+            if top.name == "p" or name == top.name in ("li", "td", "th", "tr", "dt", "dd", "option"):
+                close()  # the end tag was left out
+            rank, dropped = top.rank, top.dropped
+            if not dropped and names:
+                if name == "form":
+                    dropped = SOFT
+                elif name in DROPPED or name == "header" and not rank:
+                    dropped = HARD
+                elif attributes and name not in ("html", "body"):
+                    # Marks don't apply to an article or a main part.
+                    dropped = HARD * _unseen(attributes) if name == "main" or name == "article" and rank < 2 else _mark(attributes)
+                if lenient and dropped == SOFT:
+                    dropped = 0
+            if not dropped and names:
+                if name == "article":
+                    rank = 2
+                elif rank < 2 and (name == "main" or attributes and _main.search(attributes)):
+                    rank = 1
+            opened(name, attributes, dropped, rank)
+            if name in PROSE:
+                running += 1
+                self.kept_prose += not dropped
+                self.soft_prose += dropped == SOFT
         flush()
-        if name in VOID:
-            continue
-        if stack and (stack[-1][0] == "p" or name == stack[-1][0] in ("li", "td", "th", "tr", "dt", "dd", "option")):
-            close(match.start())  # the end tag was left out
-        rank = root
-        out = dropped
-        if not out:
-            out = name in DROPPED or name == "header" and not root or bool(attributes) and name not in ("html", "body") and (_unseen(attributes) if name == "main" or name == "article" and root < 2 else _marked(attributes))
-            if not out and name == "article":
-                rank = 2
-            elif not out and root < 2 and (name == "main" or attributes and _main.search(attributes)):
-                rank = 1
-        stack.append((name, out, rank, len(blocks), match.start(), running))
-        running += name in PROSE
-        dropped, root = out, rank
-    flush()
-    while stack:
-        close(end)
-    # A teaser in an article element isn't the page's text: articles must hold half of the text around them.
-    sizes = [sum(len(text) for rank, text in blocks if rank >= r) for r in range(3)]
-    outer = 1 if any(rank == 1 for rank, _ in blocks) else 0
-    best = 2 if sizes[2] and 2 * sizes[2] >= sizes[outer] else outer
-    return " ".join(text for rank, text in blocks if rank >= best), hashes
+        while len(stack) > 1:
+            close()
+        # A teaser in an article element isn't the page's text: articles must hold half of the text around them.
+        sizes = [sum(len(text) for rank, text in blocks if rank >= r) for r in range(3)]
+        outer = 1 if any(rank == 1 for rank, _ in blocks) else 0
+        best = 2 if sizes[2] and 2 * sizes[2] >= sizes[outer] else outer
+        return " ".join(text for rank, text in blocks if rank >= best)
+
+
+def main_text(page: str | None, templates=frozenset()) -> tuple[str, int]:
+    """The main text of a page without the subtrees whose hashes are ``templates``; and the number of those."""
+    own = Page(page, templates)
+    if not own.kept_prose and own.soft_prose:
+        own = Page(page, templates, lenient=True)
+    if not own.text and own.deleted and any(h & 3 == LINKS for h in own.hashes & templates):
+        own = Page(page, frozenset(h for h in templates if h & 3 != LINKS))
+    return own.text, own.deleted
 
 
 def host(url):
@@ -176,7 +267,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [sorted(parsed(x.as_py())[1]) for x in batch.column(1)]
+            rows = [sorted(Page(x.as_py()).hashes) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["host", "hashes"])
 
     found = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, hashes array<bigint>")
@@ -184,11 +275,11 @@ def templates(pages: DataFrame) -> DataFrame:
     counted = found.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "hashes")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
     counted = common.written(counted.where((F.col("n") >= PAGES) | F.col("hash").isNull()), "subtrees")
     all_pages = counted.where("hash IS NULL").select("host", F.col("n").alias("pages"))
-    return counted.where("hash IS NOT NULL").join(all_pages, "host").where((F.col("hash").bitwiseAND(F.lit(1)) == 0) | (F.col("n") >= SHARE * F.col("pages"))).select("host", "hash")
+    return counted.where("hash IS NOT NULL").join(all_pages, "host").where((F.col("hash").bitwiseAND(F.lit(3)) == OTHER) | (F.col("n") >= SHARE * F.col("pages"))).select("host", "hash")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+    """page_id, url, text, n_chars of every page, and n_templates, how many of its subtrees were deleted as templates."""
     recurring = common.written(templates(pages), "templates")
     # At most 1 / PAGES of the containers of all pages of a host.
     by_host = recurring.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
@@ -202,11 +293,12 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [parsed(x.as_py(), frozenset(h.as_py() or ()))[0] for x, h in zip(batch.column(2), batch.column(3))]
-            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
+            pages = [main_text(x.as_py(), frozenset(h.as_py() or ())) for x, h in zip(batch.column(2), batch.column(3))]
+            texts = [text for text, _ in pages]
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([n for _, n in pages], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "n_templates"])
 
-    return rows.select("page_id", "url", "html", "hashes").mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars bigint")
+    return rows.select("page_id", "url", "html", "hashes").mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars bigint, n_templates bigint")
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ PAGES = [
 
 @pytest.mark.parametrize(("page", "text"), PAGES)
 def test_pages(page, text):
-    got = html_text.parsed(page)[0]
+    got = html_text.main_text(page)[0]
     assert text is None or got == text
 
 
@@ -102,7 +102,7 @@ def test_pages(page, text):
     ],
 )
 def test_marks_leave_content(page, text):
-    assert html_text.parsed(page)[0] == text
+    assert html_text.main_text(page)[0] == text
 
 
 def test_templates_go(spark):
@@ -126,6 +126,55 @@ def test_rare_templates_without_running_text_go(spark):
     assert "in a list" in got[1]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='content has-sidebar'><p>kept</p></div>", "kept"),
+        ("<div style='overflow:hidden'><p>kept</p></div>", "kept"),
+        ("<article class='post related-ready'><p>kept</p></article>", "kept"),
+        ("<form id='aspnet'><article><p>kept</p></article></form>", "kept"),
+        ("<form><p>search</p></form><div><p>kept</p></div>", "kept"),
+        ("<div class='promo'><div class='ad'><p>buy</p></div><p>kept</p></div>", "kept"),
+        ("<div class='comments'><p>first!</p></div>", ""),
+    ],
+)
+def test_a_wrapper_keeps_the_only_paragraphs(page, text):
+    assert html_text.main_text(page)[0] == text
+
+
+def menu(i):
+    links = "".join(f"<li class='{'active' if i % 6 == k else ''} n{k + i}'><a href='/{i}/{k}'>{'Home News About Shop Team Help'.split()[k]} {i * k}</a></li>" for k in range(4 + i % 3))
+    return f"<div id='m{i}'><ul>{links}</ul></div>"
+
+
+def test_menus_with_other_links_are_one_template(spark):
+    """Neither names nor marks tell what is template here, and no two pages have the same source for it."""
+    rows = [(i, f"http://a/{i}", f"<body>{menu(i)}<div><p>Text {i} of its own</p></div><div>Visited {i * 37} times</div></body>") for i in range(12)]
+    rows += [(100, "http://b/", f"<body>{menu(3)}</body>")]
+    got = {r.page_id: (r.text, r.n_templates) for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i][0] == f"Text {i} of its own" and got[i][1] >= 2 for i in range(12))
+    assert got[100][0].startswith("Home 0")
+
+
+def test_a_page_of_links_keeps_them(spark):
+    rows = [(i, f"http://a/{i}", f"<div><ul><li><a href=x>topic {chr(97 + i)}</a><li><a href=y>more {chr(97 + i)}</a></ul></div>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"topic {chr(97 + i)} more {chr(97 + i)}" for i in range(8)}
+
+
+def test_counts_are_those_of_the_hosts(spark):
+    rng = random.Random(2)
+    parts = [f"<div>note {i}</div>" for i in "abcdef"] + [menu(i) for i in range(3)] + [f"<section><p>passage {i}</p></section>" for i in "xyz"]
+    rows = [(i, f"http://h{rng.randrange(3)}/", "".join(rng.sample(parts, 4)) + f"<p>{i}</p>") for i in range(90)]
+    found = {(r.host, r.hash) for r in html_text.templates(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    seen, pages = {}, {}
+    for _, url, page in rows:
+        pages[url[7:9]] = pages.get(url[7:9], 0) + 1
+        for digest in html_text.Page(page).hashes:
+            seen[url[7:9], digest] = seen.get((url[7:9], digest), 0) + 1
+    assert found == {(h, d) for (h, d), n in seen.items() if n >= 5 and (d & 3 == html_text.OTHER or n >= 0.3 * pages[h])} and len(found) > 20
+
+
 def test_templates_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(html_text, "MOST_BROADCAST", -1)
     rows = [(i, "http://a/x", f"<div>menu</div><p>{i}</p>") for i in range(8)]
