@@ -95,6 +95,117 @@ PHRASES = (
     ("licensed", "released under (?:the )?(?:terms of (?:the )?)?", 10, 0.2),
 )
 
+#: Sentences and notices, written out: label, priority, confidence, phrase.
+NOTICES = """
+mit 80 0.9 the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit 70 0.8 the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+mit-0 75 0.9 mit no attribution
+mit 65 0.85 (?:expat|mit expat) licen[cs]e
+bsd 75 0.9 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd 75 0.9 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+bsd-3-clause 80 0.95 neither the name of (?s:.{0,80}?) nor the names of its contributors may be used to endorse or promote products
+bsd-4-clause 80 0.95 all advertising materials mentioning features or use of this software must display the following acknowledgement
+0bsd 75 0.9 zero clause bsd(?: licen[cs]e)?
+0bsd 75 0.9 bsd zero clause(?: licen[cs]e)?
+0bsd 70 0.85 0bsd(?: licen[cs]e)?
+apache-2.0 80 0.95 you may not use this file except in compliance with the licen[cs]e
+apache-2.0 80 0.9 unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis
+apache-1.1 80 0.9 this product includes software developed by the apache software foundation
+gpl 80 0.95 this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e
+gpl 75 0.8 you should have received a copy of the gnu general public licen[cs]e along with this program
+gpl 75 0.8 but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[cs]e
+gpl 70 0.85 either version [0-9] of the licen[cs]e or at your option any later version
+lgpl 80 0.95 this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public licen[cs]e
+lgpl 75 0.8 you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e
+agpl 80 0.95 under the terms of the gnu affero general public licen[cs]e
+gpl-exception 70 0.8 as a special exception (?:the copyright holders? (?:give|gives) you|you may) permission to link
+classpath-exception 75 0.9 classpath exception
+gfdl 80 0.95 permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e
+gfdl 70 0.7 with no invariant sections no front cover texts and no back cover texts
+mpl-2.0 80 0.95 this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0
+mpl-1.1 80 0.9 the contents of this file are subject to the mozilla public licen[cs]e version
+epl 80 0.9 this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e
+cddl 80 0.9 the contents of this file are subject to the terms of the common development and distribution licen[cs]e
+artistic 75 0.85 the clarified artistic licen[cs]e
+perl 70 0.85 (?:you can redistribute it and or modify it )?under the same terms as perl itself
+bsl-1.0 80 0.95 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[cs]e
+busl-1.1 75 0.9 business source licen[cs]e(?: 1 1)?
+sspl 75 0.9 server side public licen[cs]e
+elastic 70 0.9 elastic licen[cs]e(?: 2 0)?
+commons-clause 75 0.9 commons clause(?: licen[cs]e condition)?
+postgresql 65 0.9 postgresql licen[cs]e
+php 65 0.85 php licen[cs]e(?: version [0-9] [0-9]+)?
+ruby 65 0.85 ruby licen[cs]e
+vim 65 0.85 vim licen[cs]e
+openssl 65 0.85 openssl licen[cs]e
+openssl 75 0.9 this product includes software developed by the openssl project
+ncsa 70 0.9 (?:university of illinois )?ncsa open source licen[cs]e
+ecl 70 0.9 educational community licen[cs]e
+cpal 70 0.9 common public attribution licen[cs]e
+ms-pl 70 0.9 microsoft public licen[cs]e
+ms-rl 70 0.9 microsoft reciprocal licen[cs]e
+ipl 70 0.9 ibm public licen[cs]e
+qpl 65 0.85 q public licen[cs]e
+sleepycat 65 0.85 sleepycat licen[cs]e
+w3c 70 0.9 w3c (?:software|document)(?: notice and)? licen[cs]e
+unicode 70 0.9 unicode (?:inc )?licen[cs]e agreement
+blue-oak 70 0.9 blue oak model licen[cs]e
+mulan 70 0.9 mulan (?:psl|permissive software licen[cs]e)
+upl 70 0.9 universal permissive licen[cs]e
+json 75 0.9 the software shall be used for good not evil
+beerware 75 0.9 beer ?ware licen[cs]e
+beerware 80 0.95 as long as you retain this notice you can do whatever you want with this stuff
+hippocratic 70 0.9 hippocratic licen[cs]e
+etalab 70 0.9 licence ouverte(?: etalab)?
+ogl 70 0.9 open government licen[cs]e
+ogl 75 0.9 contains public sector information licen[cs]ed under the open government licen[cs]e
+dl-de 70 0.9 datenlizenz deutschland
+odc-by 70 0.9 open data commons attribution licen[cs]e
+pddl 70 0.9 public domain dedication and licen[cs]e
+cdla 70 0.9 community data licen[cs]e agreement
+fal 65 0.85 free art licen[cs]e
+cc-by-sa 70 0.85 (?:available|licen[cs]ed|released) under (?:a |the )?creative commons attribution share ?alike
+cc-by 70 0.85 (?:available|licen[cs]ed|released) under (?:a |the )?creative commons attribution
+cc-by-nc 75 0.85 creative commons attribution non ?commercial licen[cs]e
+cc0 75 0.9 to the extent possible under law (?s:.{0,80}?) has waived all copyright and related or neighboring rights
+public-domain 60 0.8 this work is (?:in the public domain|dedicated to the public domain)
+public-domain 60 0.7 no rights reserved
+public-domain 60 0.8 not subject to copyright protection in the united states
+ofl-1.1 80 0.95 this font software is licen[cs]ed under the sil open font licen[cs]e
+bigscience 70 0.9 (?:bigscience )?(?:open)?rail(?: m)? licen[cs]e
+llama 70 0.9 llama (?:[0-9] )?community licen[cs]e
+gemma 70 0.8 gemma terms of use
+research-only 65 0.8 for (?:non ?commercial )?research (?:purposes|use) only
+non-commercial 60 0.7 for non ?commercial (?:use|purposes) only
+non-commercial 55 0.6 not for commercial use
+evaluation 60 0.7 for evaluation purposes only
+confidential 60 0.7 this (?:document|message|email|e mail) (?:is|contains) (?:strictly )?confidential
+confidential 50 0.5 confidential information
+trade-secret 60 0.7 contains trade secrets? (?:and|or) proprietary information
+proprietary 60 0.8 this software is the (?:confidential and )?proprietary (?:information|property) of
+proprietary 60 0.7 you may not (?:copy|modify|distribute|reverse engineer)
+proprietary 55 0.6 unpublished (?:work|proprietary source code)
+proprietary 55 0.6 licen[cs]ed not sold
+proprietary 50 0.6 subject to (?:the )?terms (?:and conditions )?of (?:the |your )?licen[cs]e agreement
+reserved 60 0.8 some rights reserved
+reserved 60 0.8 todos os direitos reservados
+reserved 60 0.8 tutti i diritti riservati
+reserved 60 0.8 alle rechten voorbehouden
+reserved 60 0.7 reproduction (?:in whole or in part )?(?:without (?:written )?permission )?is prohibited
+reserved 60 0.7 reproduction interdite(?: sans autorisation)?
+reserved 60 0.7 nachdruck(?: auch auszugsweise)? verboten
+reserved 60 0.7 prohibida (?:su|la) reproducci[óo]n(?: total o parcial)?
+permission 50 0.5 (?:reprinted|reproduced|used) (?:with|by) (?:the )?(?:kind )?permission(?: of)?
+permission 50 0.5 permission (?:to (?:use|copy|reprint)|is granted)
+attribution 40 0.4 (?:please )?(?:cite|credit|attribute) (?:this work|the author|the source) as
+warranty 30 0.3 without warrant(?:y|ies) (?:of any kind|or conditions)
+warranty 30 0.3 in no event shall the (?:authors?|copyright holders?|contributors?) (?:or (?s:.{0,40}?) )?be liable
+export 30 0.3 subject to (?:u s |united states )?export (?:control|administration)
+trademark 30 0.4 (?:is|are) (?:a )?(?:registered )?trademarks? of
+patent 30 0.4 (?:patents?|patent) pending
+dmca 40 0.5 digital millennium copyright act
+"""
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -139,6 +250,9 @@ def _rules() -> tuple[Rule, ...]:
                 add(family, f"{lead} {short}", 70, 0.85)
     for label, phrase, priority, confidence, *keywords in PHRASES:
         add(label, phrase, priority, confidence, tuple(keywords))
+    for notice in NOTICES.strip().splitlines():
+        label, priority, confidence, phrase = notice.split(" ", 3)
+        add(label, phrase, int(priority), float(confidence))
     return tuple(out)
 
 
