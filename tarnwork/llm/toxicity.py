@@ -3,13 +3,15 @@
 A linear classifier in numpy is fitted from confirmed toxic texts and unlabelled ones. With the class
 prior p, the risk is p * R(toxic as 1) + max(0, R(unlabelled as 0) - p * R(toxic as 0)): the second
 part estimates the risk on clean text; where an over-fitted model would push it below zero, it counts
-as zero and only the first part is descended. Features are the words of a text (present or not) whose shares of the two samples differ beyond chance. Labels are read only for training rows: those for which crc32 of
+as zero and only the first part is descended. The bias is then moved so that the share p of the
+unlabelled sample scores 0.5 or more, unless that would take texts with hardly any evidence. Features are the words of a text (present or not) whose shares of the two samples differ beyond chance. Labels are read only for training rows: those for which crc32 of
 the doc_id as text isn't 0 modulo 5. Neither labels nor lang, source or doc_id enter a score.
 
 The fit reads a bounded sample: at most ``POSITIVES`` toxic and ``UNLABELLED`` other training
 documents, least hash of doc_id first, and of near copies among them one; the prior is the toxic share of all labelled training rows.
 Scores cover every whole text. Null and empty texts are scored by the bias alone. A null doc_id
-counts as an empty text in the fold rule. Without any toxic training row every score is the prior's, 0
+counts as an empty text in the fold rule. Very long texts count like others, each word once; ties in the
+sample's order go by doc_id. Without any toxic training row every score is the prior's, 0
 if no row is labelled at all. Repeated rows are scored alike; other columns don't matter.
 """
 
@@ -121,6 +123,20 @@ def nonnegative_fit(toxic: list[np.ndarray], rest: list[np.ndarray], scale: np.n
     return w, b
 
 
+def prior_shift(scores: np.ndarray, none: float, prior: float) -> float:
+    """What to add to the bias so that, if fewer are, the share ``prior`` of the unlabelled sample is called toxic.
+
+    ``scores`` are its logits and ``none`` that of a text without any word of the vocabulary; such a text
+    is never called toxic, nor is one that is nearer to it than to the scores called toxic so far.
+    """
+    ranked = np.sort(scores)[::-1]
+    due = int(round(prior * len(scores)))
+    if not due or ranked[due - 1] >= 0 or ranked[0] <= 0:
+        return 0.0
+    cut = max(ranked[due - 1], none / 2)
+    return float(-cut) + 1e-6 if cut < 0 else 0.0
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Fits on training rows of ``docs`` (doc_id, text), with ``labels`` (doc_id, toxic)."""
     spark = docs.sparkSession
@@ -183,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     toxic.sort(key=by_words)
     rest.sort(key=by_words)
     w, b = nonnegative_fit(toxic, rest, np.ones(len(vocabulary)), prior)
+    b += prior_shift(np.array([b + w[x].sum() for x in rest]), b, prior)
     return Classifier({r.word: float(x) for r, x in zip(vocabulary, w) if abs(x) > 1e-4}, float(b))
 
 
