@@ -12,7 +12,8 @@ kinds, by what a subtree holds:
 * links, for half of its characters at least: the hash is over tags, class words and where links and
   other text stand, without repeats, and must recur in ``PAGES`` pages and in ``SHARE`` of the host's.
   Two menus with other links are one template. A page that is left empty without them keeps them.
-* anything else (notices, adverts, footers, single links of a list): the hash is over tags, class words and text, and must recur in ``PAGES`` pages.
+* anything else (notices, adverts, footers, single links of a list): the hash is over tags, class words
+  and text without its numbers and case, and must recur in ``PAGES`` pages.
 
 Counts alone miss templates of hosts with few pages, so menus, headers, footers, sidebars, notices,
 adverts, forms, scripts and reader comments are also told by element name and by class, id and role. A
@@ -65,7 +66,7 @@ MARKS = frozenset(
 FIRM = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr comment comments commentlist disqus respond reply replies discussion hidden".split())
 #: Class words that tell a state or a place in a list.
 STATES = frozenset("active current selected open closed first last odd even here on off".split())
-#: Kinds of subtrees, in the lowest two bits of their hashes.
+#: Kinds of subtrees, in the lowest two bits of their hashes: of the shape, of the text, and of the text without numbers and case.
 LINKS, RUNNING, OTHER = 0, 1, 2
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*+>", re.S)
 _attribute = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -112,21 +113,23 @@ def _signed(digest: int) -> int:
 class _Open:
     """An element whose end hasn't come yet."""
 
-    __slots__ = ("before", "chars", "dropped", "exact", "first", "links", "name", "rank", "shape", "tag")
+    __slots__ = ("before", "chars", "dropped", "exact", "first", "links", "loose", "name", "rank", "shape", "tag")
 
     def __init__(self, name: str, tag: str, dropped: int, rank: int, first: int, before: int):
         self.name, self.tag, self.dropped, self.rank, self.first, self.before = name, tag, dropped, rank, first, before
-        self.shape, self.exact, self.links, self.chars = [], [], 0, 0
+        self.shape, self.exact, self.loose, self.links, self.chars = [], [], [], 0, 0
 
     def text(self, text: str, linked: bool) -> None:
-        self.exact.append(_digits.sub("0", text.lower()))
+        self.exact.append(text)
+        self.loose.append(_digits.sub("0", text.lower()))
         if (token := "L" if linked else "T") != self.shape[-1:]:
             self.shape.append(token)
         self.chars += len(text)
         self.links += len(text) * linked
 
-    def digests(self) -> tuple[int, int]:
-        return tuple(xxhash.xxh64_intdigest("\n".join([self.tag, *x])) for x in (self.shape, self.exact))
+    def digests(self) -> tuple[int, int, int]:
+        """Of tags and class words with where text and links stand, with the text, and with the text but for numbers and case."""
+        return tuple(xxhash.xxh64_intdigest("\n".join([self.tag, *x])) for x in (self.shape, self.exact, self.loose))
 
 
 class Page:
@@ -156,10 +159,10 @@ class Page:
             top, linked = stack[-1], False
             if not own.chars:
                 return
-            shape, exact = own.digests()
+            shape, exact, loose = own.digests()
             if own.name in HASHED:
                 kind = RUNNING if own.rank or running > own.before else LINKS if 2 * own.links >= own.chars else OTHER
-                digest = _signed((shape if kind == LINKS else exact) & ~3 | kind)
+                digest = _signed((shape, exact, loose)[kind] & ~3 | kind)
                 self.hashes.add(digest)
                 if digest in templates:
                     self.deleted += 1
@@ -167,6 +170,7 @@ class Page:
             if (token := f"{shape:x}") != (top.shape[-1] if top.shape else ""):
                 top.shape.append(token)
             top.exact.append(f"{exact:x}")
+            top.loose.append(f"{loose:x}")
             top.chars += own.chars
             top.links += own.links
 
