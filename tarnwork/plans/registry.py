@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tarnwork.functions import classify, jsonyaml, text as tx
 from tarnwork.operators import code, fusion, graph, logs, rankers, scopes, vectors
-from tarnwork.plans import pipeline
+from tarnwork.plans import demo, pipeline
 from tarnwork.plans.retrieval import RetrievalEngine
 from tarnwork.sources.readers import spread, table, written
 
@@ -201,10 +201,117 @@ def yaml_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", jsonyaml.yaml_to_json(jsonyaml.json_to_yaml(_nested_json())).alias("json"))
 
 
-@query("json_errors", "SELECT doc_id, json_valid(text) AS ok FROM documents WHERE NOT json_valid(text)")
+@query(
+    "json_errors",
+    """
+SELECT p_partkey, p_partkey % 5 = 4 AS ok,
+  CASE p_partkey % 5 WHEN 0 THEN 'Expecting property name enclosed in double quotes' WHEN 1 THEN 'Expecting '','' delimiter' WHEN 2 THEN 'Extra data' WHEN 3 THEN 'Expecting value' ELSE '' END AS message,
+  CASE p_partkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 6 + length(p_name) WHEN 2 THEN 5 + length(p_size::VARCHAR) WHEN 3 THEN 2 ELSE -1 END::INT AS position
+FROM part
+""",
+)
 def json_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", jsonyaml.json_error(F.col("text")).alias("e"))
-    return rows.where("NOT e.ok").select("doc_id", F.col("e.ok").alias("ok"))
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    bodies = [F.concat(F.lit("  {"), name, F.lit("}")), F.concat(F.lit('["'), name, F.lit('"   }')), F.concat(F.lit("\n ["), size, F.lit("] ["), size, F.lit("]")), F.concat(F.lit("\t "), name), F.concat(F.lit('{"a": "'), name, F.lit('"}\n'))]
+    body = F.element_at(F.array(*bodies), (F.col("p_partkey") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", jsonyaml.json_error(body).alias("e"))
+    return rows.select("p_partkey", "e.ok", F.coalesce("e.message", F.lit("")).alias("message"), F.coalesce("e.position", F.lit(-1)).alias("position"))
+
+
+_PAYLOADS = """(SELECT event_id, CASE event_id % 5 WHEN 0 THEN '  ' || props || chr(10) WHEN 1 THEN '[1/9] ' || event_type || chr(13) || 'x' WHEN 2 THEN repeat('Checking ' || event_type || chr(10), 7)
+  WHEN 3 THEN '[' || user_id || ', 2]' ELSE 'x = ' || user_id || ' # ETA 3' END AS body FROM events)"""
+
+
+@query("classify_payloads", _kind_sql(_PAYLOADS, "event_id", "body"))
+def classify_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = F.col("user_id").cast("string")
+    bodies = [F.concat(F.lit("  "), "props", F.lit("\n")), F.concat(F.lit("[1/9] "), "event_type", F.lit("\rx")), F.repeat(F.concat(F.lit("Checking "), "event_type", F.lit("\n")), 7), F.concat(F.lit("["), user, F.lit(", 2]")), F.concat(F.lit("x = "), user, F.lit(" # ETA 3"))]
+    body = F.element_at(F.array(*bodies), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), classify.payload_kind(body).alias("kind"))
+
+
+@query(
+    "language_of_parts",
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'rust' WHEN 1 THEN 'python' WHEN 2 THEN 'javascript' WHEN 3 THEN 'unknown' WHEN 4 THEN 'rust' ELSE 'python' END AS language FROM part""",
+)
+def language_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By first lines, a tie, and twice by the path's ending."""
+    texts = ["  pub fn a\ndef b\nenum C", "class A:\n  def b\nfn c", "export function a", "{0} is no code", "def a\nstruct B", "fn a\nfn b"]
+    bodies = [F.concat("p_name", F.lit("\n" + t)) for t in texts]
+    key = (F.col("p_partkey") % 6 + 1).cast("int")
+    path = F.element_at(F.array(*map(F.lit, ["", "", "", "a.txt", "", "A.PY"])), key)
+    return table(spark, sf_dir, "part").select("p_partkey", classify.language(path, F.element_at(F.array(*bodies), key)).alias("language"))
+
+
+@query("log_odd_lines", "SELECT event_id, chr(1) || event_type || chr(10) || 'a hello ' || chr(7) || ' b' || user_id || chr(10) || 'kept 1' AS cleaned FROM events")
+def log_odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A control character at a line's start, an escape before a later bell, lines that are dropped, and a title sequence."""
+    user = F.col("user_id").cast("string")
+    body = F.concat(F.lit("\x01"), "event_type", F.lit("\nprogress: 3\n|/-\na \x1b(B hello \x07 b"), user, F.lit("\n3 / 4\n\x1b]0;"), "event_type", F.lit("\x07kept 1"))
+    return table(spark, sf_dir, "events").select("event_id", logs.clean_log(body).alias("cleaned"))
+
+
+@query(
+    "scopes_of_parts",
+    """
+SELECT 'p' || p_partkey || '.js' AS file_path, 'function' AS kind, 'f' || p_partkey AS name, 2 AS line_start, 4 AS line_end, 6 AS byte_start, 6 + strlen(s)::INT AS byte_end, 3 AS end_row, 1 AS end_col, s AS source
+FROM (SELECT p_partkey, 'function f' || p_partkey || '(a) {' || chr(10) || '  const g = x => x + ' || p_size || ' // ü }' || chr(10) || '}' AS s FROM part)
+""",
+)
+def scopes_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script per part, without semicolons, then one that is cut off."""
+    key = F.col("p_partkey").cast("string")
+    source = F.concat(F.lit("// é\nfunction f"), key, F.lit("(a) {\n  const g = x => x + "), F.col("p_size").cast("string"), F.lit(" // ü }\n}\nfunction cut() {\n  if (a) {\n"))
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), key, F.lit(".js")).alias("file_path"), source.alias("source"))
+    return scopes.parse_files(files).select("file_path", "kind", "name", "line_start", "line_end", "byte_start", "byte_end", "end_row", "end_col", "source")
+
+
+_RUST = """p AS (SELECT p_partkey AS k, 'p' || p_partkey || '.rs' AS f, 'a' || p_size AS a FROM part),
+s AS (SELECT k, f || ':struct:S' || k || ':3' AS id, a FROM p), n AS (SELECT k, f, f || ':function:f' || k || ':7' AS id FROM p)"""
+
+
+@query(
+    "graph_of_parts",
+    f"""
+WITH {_RUST}
+SELECT a.id AS src_key, b.id AS dst_key, 'CALLS_FUNCTION' AS kind, 3.0::DOUBLE AS weight FROM n a JOIN n b ON b.k = a.k + 2
+UNION ALL SELECT 'module::' || a.f, b.id, 'IMPORTS_MODULE', 2.0 FROM n a JOIN n b ON b.k = a.k + 1
+UNION ALL SELECT id, id || '#field#' || a, 'HAS_PROPERTY', 1.0 FROM s
+""",
+)
+def graph_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call, import and field edges of a source file per part."""
+    files = _rust_files(spark, sf_dir)
+    return graph.scope_graph(scopes.parse_files(files), scopes.parse_imports(files))[1]
+
+
+@query(
+    "nodes_of_parts",
+    f"""
+WITH {_RUST}
+SELECT id AS key, 'S' || k AS name, 'struct' AS kind, 3 AS line_start, 5 AS line_end FROM s UNION ALL SELECT id, 'f' || k, 'function', 7, 9 FROM n
+UNION ALL SELECT 'module::' || f, f, 'module', 1, 1 FROM p UNION ALL SELECT id || '#field#' || a, a, 'struct', 3, 5 FROM s
+""",
+)
+def nodes_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _rust_files(spark, sf_dir)
+    return graph.scope_graph(scopes.parse_files(files), scopes.parse_imports(files))[0].select("key", "name", "kind", "line_start", "line_end")
+
+
+def _rust_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    k, one, two = (x.cast("string") for x in (key, key + 1, key + 2))
+    source = F.concat(F.lit("use crate::f"), one, F.lit(";\n\nstruct S"), k, F.lit(" {\n    a"), F.col("p_size").cast("string"), F.lit(": u8,\n}\n\nfn f"), k, F.lit("() {\n    f"), two, F.lit("();\n}\n"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k, F.lit(".rs")).alias("file_path"), source.alias("source"))
+
+
+@query(
+    "focus_mass",
+    "SELECT l_partkey AS key, round(sum(l_discount), 9) AS mass FROM lineitem WHERE l_discount >= 0.05 GROUP BY l_partkey",
+)
+def focus_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_discount").alias("similarity"))
+    return graph.focus_from_hits(hits, 0.05).withColumn("mass", F.round("mass", 9))
 
 
 @query("yaml_scalar_quoting", f"SELECT s, {_QUOTED.format('s')} AS scalar FROM (SELECT DISTINCT unnest([p_name, p_brand, p_type, p_size::VARCHAR]) AS s FROM part UNION SELECT c_mktsegment FROM customer UNION SELECT c_name FROM customer)")
@@ -435,19 +542,22 @@ WITH h AS (
   SELECT 'vector' AS ranker, 1.15::DOUBLE AS weight, p_size AS rank, p_size / 60.0 AS c, p_partkey AS id FROM part
   UNION ALL SELECT 'ast', 1.0, (p_partkey % 97)::INT + 1, (p_partkey % 97) / 100.0, p_partkey FROM part
   UNION ALL SELECT 'regex', 0.85, (p_partkey % 31)::INT + 1, 0.5, p_partkey FROM part WHERE p_partkey % 2 = 0),
-m AS (SELECT id, max(c) AS c FROM h GROUP BY id),
-s AS (SELECT h.id, m.c, m.c > 0.95 AS o, sum(CASE WHEN m.c > 0.95 THEN weight * (1 + h.c) ELSE weight / (60.0 + h.rank) END) + CASE WHEN m.c > 0.95 THEN 1000 + m.c ELSE 0 END AS score FROM h JOIN m USING (id) GROUP BY h.id, m.c)
-SELECT id::VARCHAR AS id, round(score, 9)::DOUBLE AS score, round(c, 9)::DOUBLE AS confidence, o AS override_floated FROM s
+m AS (SELECT id, max(c)::DOUBLE AS c FROM h GROUP BY id),
+w AS (SELECT h.id, m.c, m.c > 0.95 AS o, ranker, CASE WHEN m.c > 0.95 THEN weight * (1 + h.c::DOUBLE) ELSE weight / (60.0::DOUBLE + h.rank) END AS x FROM h JOIN m USING (id)),
+s AS (SELECT id, c, o, coalesce(max(x) FILTER (ranker = 'ast'), 0.0::DOUBLE) + coalesce(max(x) FILTER (ranker = 'regex'), 0.0::DOUBLE) + coalesce(max(x) FILTER (ranker = 'vector'), 0.0::DOUBLE) AS p FROM w GROUP BY id, c, o),
+t AS (SELECT *, CASE WHEN o THEN p + 1000.0::DOUBLE + c ELSE p END AS score FROM s)
+SELECT id::VARCHAR AS id, round(score, 9)::DOUBLE AS score, round(c, 9)::DOUBLE AS confidence, o AS override_floated, 'line ' || id AS content,
+  row_number() OVER (ORDER BY o DESC, CASE WHEN o THEN c END DESC NULLS LAST, score DESC, id * 100, 'f' || (id % 50), id::VARCHAR)::INT AS position FROM t
 """,
 )
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     at = (F.col("p_partkey") * 100).cast("int")
-    rest = (F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("f"), (F.col("p_partkey") % 50).cast("string")).alias("file_path"), at.alias("line_start"), at.alias("line_end"), F.lit("").alias("content"))
+    rest = (F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("f"), (F.col("p_partkey") % 50).cast("string")).alias("file_path"), at.alias("line_start"), at.alias("line_end"), F.concat(F.lit("line "), F.col("p_partkey").cast("string")).alias("content"))
     hit = lambda df, ranker, weight, rank, c: df.select(F.lit(ranker).alias("ranker"), F.lit(weight).alias("weight"), rank.cast("int").alias("rank"), c.cast("double").alias("confidence"), *rest)
     key = F.col("p_partkey")
     hits = hit(part, "vector", 1.15, F.col("p_size"), F.col("p_size") / 60).union(hit(part, "ast", 1.0, key % 97 + 1, key % 97 / 100)).union(hit(part.where(key % 2 == 0), "regex", 0.85, key % 31 + 1, F.lit(0.5)))
-    return fusion.blend(hits).select("id", F.round("score", 9).alias("score"), F.round("confidence", 9).alias("confidence"), "override_floated")
+    return fusion.blend(hits).select("id", F.round("score", 9).alias("score"), F.round("confidence", 9).alias("confidence"), "override_floated", "content", "position")
 
 
 @query(
@@ -530,6 +640,18 @@ def routed_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("saved_pct", F.round("saved_pct", 6))
 
 
+@query("demo_flow")
+def demo_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared kinds, filters, index of the cleaned code, query, context and token telemetry in one flow."""
+    import public_tokenizers
+
+    counter = pipeline.token_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    code_files = _programs(spark).select(F.col("file_path").alias("name"), F.lit("code").alias("declared"), F.col("source").alias("body"))
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("name"), F.lit("json").alias("declared"), F.col("props").alias("body"))
+    build = table(spark, sf_dir, "events").select(F.concat(F.lit("l"), F.col("event_id").cast("string")).alias("name"), F.lit("log").alias("declared"), _log_line().alias("body"))
+    return demo.flow(code_files.union(events).union(build), "dispatch a job in the pool", counter, top_k=6, declared="declared")
+
+
 @query("token_telemetry")
 def token_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens saved on composed payloads, counted with a public byte-pair vocabulary."""

@@ -129,6 +129,14 @@ def test_pipeline(spark):
     assert kinds == {"a": ("code", "x = 1\n"), "c": ("json", "k: v")}
 
 
+def test_timed_stages(spark):
+    rows = spark.createDataFrame([("a", "x = 1  # c\n"), ("b", "y\n")], "name string, body string")
+    out, report = pipeline.baseline_pipeline().execute_timed(rows)
+    assert {r.name: r.output for r in out.collect()} == {"a": "x = 1\n", "b": "y\n"}
+    got = report.orderBy("place").collect()
+    assert [(r.stage, r.input_bytes, r.output_bytes) for r in got] == [("code_cleaner", 13, 8), ("log_cleaner", 8, 8), ("data_converter", 8, 8)] and all(r.elapsed_us > 0 for r in got)
+
+
 def test_token_counter(spark, tmp_path):
     import base64
 
