@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -15,6 +16,17 @@ from tarnwork.llm import katz
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def good_turing(counts, k=5):
+    """Discounts by Katz's formula in fractions: (r* / r - common) / (1 - common), r* = (r + 1) n(r + 1) / n(r); half a count off where that isn't between 0 and 1."""
+    n = Counter(counts.values())
+    common = Fraction((k + 1) * n[k + 1], n[1]) if n[1] else Fraction(1)
+    out = {}
+    for r in range(1, k + 1):
+        own = (Fraction((r + 1) * n[r + 1], r * n[r]) - common) / (1 - common) if n[r] and common < 1 else Fraction(0)
+        out[r] = float(own if 0 < own < 1 else Fraction(2 * r - 1, 2 * r))
+    return out
+
+
 def plain(rows):
     """Scores by dictionaries, straight from the definition; and the function P(word | context)."""
     lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
@@ -26,9 +38,8 @@ def plain(rows):
             uni.update(own)
             bi.update(zip(["\t", *own], own))
     n, v = sum(uni.values()), len(uni)
-    gt = lambda c: katz.discounts(np.array([sum(x == r for x in c.values()) for r in range(1, katz.CUTOFF + 2)], float))
-    du, db = gt(uni), gt(bi)
-    disc = lambda r, d: r * (d[r] if r <= katz.CUTOFF else 1.0)
+    du, db = good_turing(uni), good_turing(bi)
+    disc = lambda r, d: r * d.get(r, 1.0)
     left = 1 - sum(disc(c, du) for c in uni.values()) / n if n else 1.0
     unknown = max(left, 1 / (n + 1))
     p1 = lambda w: (1 - unknown) / (1 - left) * disc(uni[w], du) / n if uni[w] else unknown
