@@ -43,16 +43,23 @@ def shingles(text: str, k: int) -> list[str]:
     return list(map(" ".join, zip(*(words[i:] for i in range(k)))))
 
 
+def hashes_of(text: str, k: int, block: int = BLOCK):
+    """Hashes of the shingles in arrays of at most ``block``; a long text's shingles are never held all at once."""
+    words = _word.findall(common.ascii_lower_text(text))
+    for i in range(0, max(len(words) - k + 1, min(len(words), 1)), block):
+        own = words[i : i + block + k - 1]
+        parts = map(" ".join, zip(*(own[j:] for j in range(k)))) if len(words) > k else [" ".join(words)]
+        yield np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), np.uint64)
+
+
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     """The fingerprint as a signed 64-bit integer."""
-    parts = shingles(text or "", k)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(parts), BLOCK):
-        block = parts[i : i + BLOCK]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in block), np.uint64, len(block))
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in hashes_of(text or "", k):
+        total += len(hashes)
         # Most significant bit first; sums of bytes stay below 256 in groups of 255.
         counts += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(parts)).view(">i8")[0])
+    return int(np.packbits(2 * counts > total).view(">i8")[0])
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
