@@ -8,15 +8,15 @@ looked up as a whole (multi-index hashing of radius zero), in levels:
 
 - Of the texts that share a fingerprint, each is compared with two of them, picked by a hash. That links
   large groups of near copies without comparing them pair by pair.
-- A group is settled if all its texts are in one component by then. One that isn't is gathered if it has
-  ``BLOCK`` texts and ``BLOCK_CHARS`` at most, and its texts of different components are compared,
-  each with each, unless they are linked through others by then.
-- In larger ones (texts that share a passage but aren't all near copies) each text is compared with two
-  more in each of ``ROUNDS`` rounds. So work grows with the number of texts, not with its square, but a
-  link can be missed if its texts share no fingerprint of a settled or smaller group.
+- A group is settled if all its texts are in one component by then. In every other one, whatever its
+  size, each text is compared with all those of other components. A group of more than ``BLOCK`` texts or
+  ``BLOCK_CHARS`` code points is dealt into blocks of about that size, and each two blocks that can hold
+  different components meet in a group of their own. The blocks of the group's largest component meet only
+  the others, so work grows with the texts outside that component times those of the group.
 
-Pairs whose least hashes agree in fewer than ``AGREE`` of 48 places are passed over: at a similarity of
-0.8 that happens to 2 pairs in ten thousand. The others are verified on their texts before they are linked.
+So all near copies that share a fingerprint are linked. In the first step, pairs whose least hashes agree in
+fewer than ``AGREE`` of 48 places are passed over, which loses none of them: unless others link them, the
+second step compares them by all their shingles. Every link is verified.
 
 The links of ``simhash`` stay as they are; the verified ones are added, and components are taken of both.
 Null, empty and blank texts have no fingerprints and are linked by those of ``simhash`` alone; repeated
@@ -40,12 +40,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 #: Shingles of a text that are hashed at once.
 BLOCK_SHINGLES = 1 << 12
-#: Texts of a group, and their code points, up to which those of different components are compared each with each.
+#: Texts of a group, and their code points, that are compared in one piece; larger groups are dealt into blocks of them.
 BLOCK, BLOCK_CHARS = 256, 1 << 24
-#: Places of the ``BANDS * ROWS`` least hashes in which two texts must agree to be compared.
+#: Places of the ``BANDS * ROWS`` least hashes in which two texts must agree to be compared before groups are.
 AGREE = 28
-#: Times that each text of a larger group is compared with two more.
-ROUNDS = 3
+#: Distinct shingles that are counted at once when texts are compared in blocks.
+COLUMNS = 1 << 13
 
 _rng = np.random.default_rng(11)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,65 +99,124 @@ def _pair(one: str, two: str):
     return first["number"].alias("a"), second["number"].alias("b"), first["fp"].alias("u"), second["fp"].alias("v")
 
 
-def candidates(members: DataFrame, turn: int = 0) -> DataFrame:
-    """Of the members (key, number, fp, root) of each key, pairs of every one with two, other ones each turn, where they aren't of one ``root``."""
-    own = F.struct(F.xxhash64("key", "number", F.lit(turn)).alias("h"), "number", "fp", "root")
+def candidates(members: DataFrame) -> DataFrame:
+    """Of the members (key, number, fp) of each key, pairs of every one with two, where they aren't of one ``fp``."""
+    own = F.struct(F.xxhash64("key", "number").alias("h"), "number", "fp")
     buckets = members.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo.number <> hi.number")
-    met = members.join(buckets, "key").select(F.struct("number", "fp").alias("m"), "root", F.explode(F.array("lo", "hi")).alias("c"))
-    return met.where("root <> c.root").select("m", F.struct("c.number", "c.fp").alias("c")).select(*_pair("m", "c"))
+    met = members.join(buckets, "key").select(F.struct("number", "fp").alias("m"), F.explode(F.array("lo", "hi")).alias("c"))
+    return met.where("m.fp <> c.fp").select("m", F.struct("c.number", "c.fp").alias("c")).select(*_pair("m", "c"))
 
 
 def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members whose key holds more than one component, with their root, and ``large``: whether the key's texts are too many to gather."""
-    own = members.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    """The members whose key holds more than one component, with their root, and ``large``: whether the key's texts are more than one block."""
+    own = members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     many = own.groupBy("key").agg(F.count("*").alias("n"), F.sum("chars").alias("all"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     return own.join(many.select("key", F.expr(f"n > {BLOCK} OR all > {BLOCK_CHARS}").alias("large")), "key")
 
 
+def dealt(members: DataFrame) -> DataFrame:
+    """key, number, fp, root, and a pair of blocks (low, high) with its own ``block``, of the members of ``unsettled``, once for each pair they meet in.
+
+    Any two members of a key and different roots meet in one pair: in (b, b) if both are of block b, else in that of
+    their blocks. The blocks of the key's most frequent root come first and don't meet each other.
+    """
+    columns = ["key", "number", "fp", "root"]
+    small = members.where("NOT large").select(*columns, *(F.lit(0).cast("long").alias(c) for c in ("low", "high", "block")))
+    large = members.where("large")
+    of_root = large.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    of_key = of_root.groupBy("key").agg(F.max(F.struct("n", "chars", "root")).alias("most"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    blocks = lambda n, chars: F.greatest(F.ceil(n / BLOCK), F.ceil(chars / BLOCK_CHARS))
+    most = blocks(F.col("most.n"), F.col("most.chars")).alias("firsts")
+    rest = blocks(F.col("n") - F.col("most.n"), F.col("chars") - F.col("most.chars")).alias("others")
+    own = large.join(of_key.select("key", F.col("most.root").alias("most"), most, rest), "key")
+    place = F.xxhash64("number", "key")
+    first = F.col("root") == F.col("most")
+    own = own.withColumn("block", F.when(first, F.pmod(place, "firsts")).otherwise(F.col("firsts") + F.pmod(place, "others")))
+    met = F.sequence(F.when(first, F.col("firsts")).otherwise(0), F.col("firsts") + F.col("others") - 1)
+    own = own.withColumn("other", F.explode(met))
+    return small.union(own.select(*columns, F.least("block", "other"), F.greatest("block", "other"), "block"))
+
+
 def _hashed(text: str) -> np.ndarray:
     return np.unique(np.concatenate([np.unique(x) for x in simhash.hashes_of(text, SHINGLE)]))
 
 
-def _links(group: list[tuple]) -> list[tuple[int, int]]:
-    """Links (by fp) that join the near copies among the (fp, root, marks, hashes) of one key across their roots."""
-    top = {root: root for _, root, _, _ in group}
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each of ``left`` has in common with each of ``right``; all are sorted and distinct."""
+
+    def flags(arrays, values):
+        out = np.zeros((len(arrays), len(values)), np.float32)
+        for row, own in zip(out, arrays):
+            own = own[np.searchsorted(own, values[0]) : np.searchsorted(own, values[-1], "right")]
+            at = np.searchsorted(values, own)
+            row[at[values[at] == own]] = 1
+        return out
+
+    if left is right:
+        values, times = np.unique(np.concatenate(left), return_counts=True)
+        values = values[times > 1]
+    else:
+        values = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    counts = np.zeros((len(left), len(right)), np.int64)
+    for i in range(0, len(values), COLUMNS):
+        some = values[i : i + COLUMNS]
+        one = flags(left, some)
+        # Sums of at most COLUMNS ones are exact in single precision.
+        counts += (one @ (one if left is right else flags(right, some)).T).astype(np.int64)
+    return counts
+
+
+def _links(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]]:
+    """Links (by fp) that join the near copies of the (fp, root, hashes) of one side and the other, or of one list, across their roots."""
+    top = {root: root for _, root, _ in [*left, *right]}
+    if len(top) < 2 or not left or not right:
+        return []
 
     def find(x):
         while top[x] != x:
             x = top[x]
         return x
 
-    marks, out = np.array([m for _, _, m, _ in group], np.int8), []
-    for i, (fp, root, _, hashes) in enumerate(group):
-        for j in np.flatnonzero((marks[i + 1 :] == marks[i]).sum(1) >= AGREE) + i + 1:
-            other, one, two = group[j], find(root), find(group[j][1])
-            if one == two:
-                continue
-            both = len(np.intersect1d(hashes, other[3], assume_unique=True))
-            if both >= SIMILARITY * (len(hashes) + len(other[3]) - both):
-                top[one] = two
-                out.append((fp, other[0]))
+    one = [x[2] for x in left]
+    two = one if left is right else [x[2] for x in right]
+    both = _shared(one, two)
+    near = both >= SIMILARITY * (np.array([len(x) for x in one])[:, None] + np.array([len(x) for x in two]) - both)
+    near &= np.array([x[1] for x in left])[:, None] != np.array([x[1] for x in right])
+    out = []
+    for i, j in np.argwhere(near):
+        a, b = find(left[i][1]), find(right[j][1])
+        if a != b:
+            top[a] = b
+            out.append((left[i][0], right[j][0]))
     return out
 
 
-def gathered(members: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """u and v: links between the components of each key; a key has few members. Their texts are sent once for each key."""
+def gathered(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """u and v: links between the components of each key of ``unsettled``, found by comparing all its members of different ones."""
+
+    def table(links):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
 
     def run(batches):
-        key, group = None, []
+        pair, sides = None, {}
+
+        def found():
+            # One block meets itself, or the second of two.
+            return _links(sides.get(pair[1], []), sides.get(pair[2], [])) if pair else []
+
         for batch in batches:
             links = []
-            for own, fp, root, marks, text in zip(*batch.columns):
-                if own.as_py() != key:
-                    links += _links(group)
-                    key, group = own.as_py(), []
-                group.append((fp.as_py(), root.as_py(), marks.as_py(), _hashed(text.as_py())))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in _links(group)], pa.int64()) for i in (0, 1)], ["u", "v"])
+            for key, low, high, block, fp, root, text in zip(*batch.columns):
+                if (own := (key.as_py(), low.as_py(), high.as_py())) != pair:
+                    links += found()
+                    pair, sides = own, {}
+                sides.setdefault(block.as_py(), []).append((fp.as_py(), root.as_py(), _hashed(text.as_py())))
+            yield table(links)
+        yield table(found())
 
-    own = members.select("key", "number", "fp", "root").join(found.select("number", "marks"), "number").join(_texts_of(members, texts), "number")
-    rows = own.select("key", "fp", "root", "marks", "text").repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(run, "u bigint, v bigint")
+    own = dealt(members).join(_texts_of(members, texts), "number")
+    rows = own.select("key", "low", "high", "block", "fp", "root", "text").repartition("key", "low", "high")
+    return rows.sortWithinPartitions("key", "low", "high").mapInArrow(run, "u bigint, v bigint")
 
 
 def _texts_of(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -189,30 +248,18 @@ def verified(pairs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> Da
 def classes(found: DataFrame, texts: DataFrame) -> DataFrame:
     """fp and root of every linked ``fp``; ``found`` is of ``prints``, ``texts`` has number and text of the same rows."""
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        return verified(common.written(alike(pairs, found), "candidates"), texts)
-
     def grouped(links: DataFrame) -> DataFrame:
         return common.written(components(links).withColumnRenamed("node", "fp"), "components")
 
-    members = found.select("number", "fp", "chars", F.col("fp").alias("root"), F.explode("keys").alias("key"))
-    links = common.written(simhash.links(found.select("fp").distinct()).union(compared(candidates(members))), "links")
+    members = found.select("number", "fp", "chars", F.explode("keys").alias("key"))
+    picked = verified(common.written(alike(candidates(members), found), "candidates"), texts)
+    links = common.written(simhash.links(found.select("fp").distinct()).union(picked), "links")
     roots = grouped(links)
-    for turn in range(1, ROUNDS + 1):
-        rest = common.written(unsettled(members, roots), "unsettled")
-        if rest.isEmpty():
-            break
-        # Small groups are settled by the first turn; later ones see large groups alone.
-        members = rest.where("large").drop("large")
-        more = compared(candidates(members, turn))
-        if turn == 1:
-            more = more.union(gathered(rest.where("NOT large"), found, texts))
-        more = common.written(more, "links")
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        roots = grouped(links)
-    return roots
+    rest = common.written(unsettled(members, roots), "unsettled")
+    if rest.isEmpty():
+        return roots
+    more = common.written(gathered(rest, texts), "links")
+    return roots if more.isEmpty() else grouped(links.union(more))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -59,6 +59,73 @@ def test_groups_that_share_a_passage(spark, monkeypatch, block):
     assert len(kept) - len(missed) == 60 and len(missed) <= (0 if block == 256 else 4)
 
 
+def of_passages(rng, passages, each, tail):
+    """Rows that share most of a passage: per passage, texts with ends of their own, and a near copy of every third of them."""
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(passages):
+        passage = words(120)
+        for i in range(each):
+            own = passage + words(tail)
+            rows.append((len(rows), " ".join(own)))
+            if i % 3 == 0:
+                rows.append((len(rows), " ".join([*own[:-5], *words(5)])))
+    return rows
+
+
+@pytest.mark.parametrize("block, chars", [(5, 1 << 24), (256, 20_000)])
+def test_large_groups_are_compared_whole(spark, monkeypatch, block, chars):
+    """No size of a group makes it lose a link: neither its number of texts nor their code points."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "BLOCK_CHARS", chars)
+    rows = of_passages(random.Random(5), 2, 45, 45)
+    want = [rows[i][0] for i in brute_kept(rows)]
+    assert len(rows) - len(want) >= 30
+    assert sorted(r.doc_id for r in near.drop_near_copies(frame(spark, rows)).collect()) == want
+
+
+def test_each_pair_of_different_roots_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 4)
+    monkeypatch.setattr(near, "BLOCK_CHARS", 50)
+    rows = [(k, n, n, 9 + n % 5, n % roots if n % 2 else 0, True) for k, roots, many in [(1, 7, 60), (2, 3, 9), (3, 2, 100)] for n in range(many)]
+    rows += [(4, n, n, 1, n % 2, False) for n in range(3)]
+    members = spark.createDataFrame(rows, "key long, number long, fp long, chars int, root long, large boolean")
+    groups = {}
+    for r in near.dealt(members).collect():
+        assert r.block in (r.low, r.high)
+        groups.setdefault((r.key, r.low, r.high), []).append(r)
+    met = {}
+    for (_, low, high), group in groups.items():
+        for one in group:
+            for two in group:
+                if one.number < two.number and one.root != two.root and (low == high or one.block != two.block):
+                    met[one.key, one.number, two.number] = met.get((one.key, one.number, two.number), 0) + 1
+    want = {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[4] != b[4]}
+    assert set(met) == want and set(met.values()) == {1}
+    assert max(map(len, groups.values())) < 40
+
+
+@pytest.mark.parametrize("columns", [1 << 13, 5])
+def test_links_of_two_sides_and_of_one(monkeypatch, columns):
+    monkeypatch.setattr(near, "COLUMNS", columns)
+    texts = [t for _, t in of_passages(random.Random(8), 2, 12, 45)] + ["one", "one two", "a b c d e f"]
+    group = [(i, i // 2 if i < 8 else i, near._hashed(t)) for i, t in enumerate(texts)]
+    close = [(i, j) for j, i in brute_links(list(enumerate(texts))) if group[i][1] != group[j][1]]
+
+    def classes(pairs):
+        top = {x[1]: x[1] for x in group}
+        for i, j in pairs:
+            old, new = top[group[i][1]], top[group[j][1]]
+            top = {k: new if v == old else v for k, v in top.items()}
+        return sorted(sorted(k for k in top if top[k] == v) for v in set(top.values()))
+
+    assert len(close) >= 4 and classes(near._links(group, group)) == classes(close)
+    left, right = group[::2], group[1::2]
+    across = [(i, j) for i, j in close if i % 2 != j % 2]
+    assert across and classes(near._links(left, right)) == classes(across)
+    assert near._links(left, []) == near._links([], right) == []
+
+
 def test_candidates_are_verified(spark):
     rng = random.Random(9)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
